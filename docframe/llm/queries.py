@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docframe.llm.embed_dedup import embedding_groups
 from docframe.llm.exact_dedup import exact_dedup
+from docframe.llm.langid import fit_dictionaries, identify_language
+from docframe.llm.mixing import mix_sources
+from docframe.llm.packing import pack_documents
+from docframe.llm.quality import quality_scores
+from docframe.llm.secrets import find_secrets, secret_digest
 from docframe.llm.simhash import simhash_groups
+from docframe.llm.toxicity import fit_toxicity, score_toxicity
+from docframe.llm.url_filters import filter_urls
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+#: Target shares by source, for the 20 sources of the test tables: proportional to 1 / sqrt(1 + i).
+MIX_WEIGHTS = {f"src{i}": round((1 + i) ** -0.5, 6) for i in range(20)}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -30,12 +49,136 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_scores(_table(spark, sf_dir, "documents"), trusted)
+
+
+def _fold_number(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = fit_dictionaries(docs.where(_fold_number(5) != 0))
+    found = identify_language(docs, dictionaries)
+    return found.select("doc_id", (_fold_number(5) == 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time by rule: one a second, in a scattered order over 180 days."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    second = F.col("page_id") * 7919 % (180 * 86400)
+    return pages.withColumn("fetch_time", F.timestamp_seconds(second + 1_704_067_200))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """Dated entries by rule, up to four for each host and its registered domain on two lists."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:@]+)", 1)
+    names = captures.select(host.alias("host")).distinct()
+    patterns = names.select(F.explode(F.array(F.col("host"), F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1))).alias("pattern")).distinct()
+    numbered = patterns.where("pattern <> ''").withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "pattern", F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
+    return numbered.withColumn("r", number).select(
+        F.when(F.col("k") % 2 == 0, "ads").otherwise("malware").alias("list_name"),
+        "pattern",
+        F.when(F.col("r") % 3 == 0, "remove").when(F.col("r") % 3 == 1, "block").otherwise("allow").alias("action"),
+        F.timestamp_seconds(F.col("r") % (180 * 86400) + 1_704_067_200).alias("listed_at"),
+    )
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _captures(spark, sf_dir)
+    found = filter_urls(captures, _list_entries(captures))
+    return found.withColumn("fetch_time", F.date_format("fetch_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+OP8_SQL = r"""
+WITH captures AS (
+  SELECT DISTINCT page_id, url, 1704067200 + page_id * 7919 % 15552000 AS ft, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
+  FROM pages),
+patterns AS (
+  SELECT DISTINCT pattern FROM (
+    SELECT host AS pattern FROM captures UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) FROM captures) WHERE pattern <> ''),
+numbered AS (
+  SELECT pattern, k, ('0x' || substr(md5(pattern || ':' || k), 1, 8))::BIGINT AS r FROM patterns, range(4) t(k)),
+entries AS (
+  SELECT list_name, pattern, listed_at, max(action) AS action FROM (
+    SELECT CASE WHEN k % 2 = 0 THEN 'ads' ELSE 'malware' END AS list_name, pattern, r % 15552000 + 1704067200 AS listed_at,
+           CASE r % 3 WHEN 0 THEN 'remove' WHEN 1 THEN 'block' ELSE 'allow' END AS action FROM numbered) GROUP BY ALL),
+valid AS (
+  SELECT *, lead(listed_at) OVER (PARTITION BY list_name, pattern ORDER BY listed_at) AS valid_to FROM entries),
+labels_of AS (SELECT *, string_split(host, '.') AS parts FROM captures),
+keyed AS (
+  SELECT DISTINCT page_id, url, ft, unnest(list_concat(
+    list_transform(range(1, greatest(len(parts) - 1, 1) + 1), lambda i: array_to_string(parts[i:], '.')),
+    list_transform(range(1, least(len(segs), 2) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM labels_of),
+found AS (
+  SELECT k.page_id, k.url, k.ft, v.pattern, v.list_name, v.action,
+         row_number() OVER (PARTITION BY k.page_id, k.url, k.ft ORDER BY length(v.pattern) DESC, listed_at DESC, list_name DESC, action DESC) AS rn,
+         count(*) OVER (PARTITION BY k.page_id, k.url, k.ft) AS n
+  FROM keyed k JOIN valid v ON k.pattern = v.pattern AND v.listed_at <= k.ft AND (v.valid_to IS NULL OR k.ft < v.valid_to) WHERE v.action <> 'remove')
+SELECT c.page_id, c.url, strftime(make_timestamp(c.ft * 1000000), '%Y-%m-%d %H:%M:%S') AS fetch_time, c.host, coalesce(f.n, 0) AS n_active,
+       f.pattern, f.list_name, f.action, coalesce(f.action = 'block', false) AS blocked
+FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url = f.url AND c.ft = f.ft AND f.rn = 1
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def mix_sql(docs: str, weights: dict[str, float], seed: str = "mix", part: float = 8.0) -> str:
+    """SQL for mix_sources over a relation with the columns of documents and unique ids."""
+    values = ", ".join(f"('{k}', {w!r}::DOUBLE)" for k, w in weights.items())
+    return f"""
+WITH w(source, weight) AS (VALUES {values}),
+n AS (SELECT source, weight, count(*)::DOUBLE AS c FROM {docs} JOIN w USING (source) GROUP BY ALL),
+rate AS (SELECT source, (SELECT sum(c) FROM n) * weight / (SELECT sum(weight) FROM n) / c AS r FROM n),
+parts AS (SELECT source, greatest(1, ceil(r / {part}))::BIGINT AS m, r / greatest(1, ceil(r / {part})) AS mean FROM rate),
+terms AS (SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM parts, range(64) t(k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS p FROM terms),
+drawn AS (
+  SELECT d.doc_id, d.source, unnest(range(1, m + 1)) AS j FROM {docs} d JOIN parts USING (source)),
+numbers AS (
+  SELECT *, ('0x' || substr(md5('{seed}:' || doc_id || ':' || j), 1, 12))::BIGINT / 281474976710656.0 AS u FROM drawn),
+found AS (SELECT doc_id, j, count(*) FILTER (WHERE p <= u) AS x FROM numbers JOIN cdf USING (source) GROUP BY doc_id, j),
+counts AS (SELECT doc_id, sum(x)::BIGINT AS n FROM found GROUP BY doc_id HAVING sum(x) > 0),
+copies AS (SELECT doc_id, unnest(range(n))::INTEGER AS copy FROM counts)
+SELECT d.*, copy, substr(md5('{seed}:' || d.doc_id || ':copy:' || copy), 1, 16) AS shuffle_key FROM copies JOIN {docs} d USING (doc_id)
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(_fold_number(4) != 2))
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", (_fold_number(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
+        "op6_language": op6_language,
+        "op7_embeddings": op7_embeddings,
+        "op8_url_filter": op8_url_filter,
+        "op9_mixing": op9_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": mix_sql("documents", MIX_WEIGHTS)}
