@@ -24,6 +24,11 @@ MARGIN = 0.01
 UNDETERMINED = "und"
 
 
+def folded(text: str) -> bytes:
+    """Case says little of the language, but costs the matches with lower-case dictionaries."""
+    return text.lower().encode("utf-8", "replace")
+
+
 def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Sampled text of each non-null language, most frequent language first.
 
@@ -43,7 +48,7 @@ def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sample.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("lang", "rank").toLocalIterator():
-        texts[r["lang"]].append(r["text"].encode("utf-8", "replace"))
+        texts[r["lang"]].append(folded(r["text"]))
     out = {}
     for lang, own in texts.items():
         held = b""
@@ -77,7 +82,7 @@ class Compressors:
         """(language, score, margin): the smallest size wins, ties go to the more frequent language."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0
-        sizes = np.array(self.sizes(text.encode("utf-8", "replace")), float)
+        sizes = np.array(self.sizes(folded(text)), float)
         best = int(sizes.argmin())
         if len(sizes) == 1:
             return self.langs[0], 1.0, 1.0
