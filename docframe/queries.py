@@ -146,8 +146,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND (c_nationkey <> 3 OR c_nationkey::VARCHAR NOT LIKE '3%')",
     ),
     "prd_list_in": (
-        "SELECT user_id, types FROM user_types WHERE types IN ('click', 'purchase')",
-        "SELECT user_id, list_sort(list(DISTINCT event_type)) AS types FROM events GROUP BY user_id HAVING bool_or(event_type IN ('click', 'purchase'))",
+        "SELECT user_id FROM user_types WHERE types IN ('click', 'purchase')",
+        "SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type IN ('click', 'purchase'))",
     ),
     "prd_list_like": (
         "SELECT user_id FROM user_types WHERE types LIKE 'P%' AND types NOT LIKE '%view%'",
