@@ -75,12 +75,12 @@ def md_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_rows(parse_files(_order_files(spark, sf_dir, False), ORDER_SCHEMA))
     table = Table(rows, "path", HIDDEN, HIDDEN)
     found = Binder(lambda _: table).select(parse("SELECT path, key, customer, status, price, `day`, at, open, tags, h1, Summary, Notes FROM orders"))
-    return found.withColumn("tags", F.array_join("tags", "|"))
+    return found.withColumn("tags", F.array_join("tags", "|")).withColumn("day", F.col("day").cast("string"))
 
 
 MD_ROUNDTRIP_SQL = """
 SELECT o_orderkey || '.md' AS path, o_orderkey AS key, o_custkey AS customer, o_orderstatus AS status, printf('%.2f', o_totalprice)::DOUBLE AS price,
-       o_orderdate::DATE AS day, o_orderdate::DATE + INTERVAL '10 hours 20 minutes 30 seconds' AS at, o_orderstatus = 'O' AS open,
+       o_orderdate::DATE::VARCHAR AS day, o_orderdate::DATE + INTERVAL '10 hours 20 minutes 30 seconds' AS at, o_orderstatus = 'O' AS open,
        lower(o_orderpriority) || '|all' AS tags, o_orderkey::VARCHAR AS h1,
        'An order.' || chr(10) || '```' || chr(10) || '## not a section' || chr(10) || '```' AS Summary, 'From ' || o_custkey || '.' AS Notes
 FROM orders

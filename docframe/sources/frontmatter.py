@@ -11,7 +11,7 @@ class FrontMatterError(ValueError):
     """The text is not the YAML that documents may hold."""
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     yaml_implicit_resolvers: dict = {}
 
     def construct_mapping(self, node: yaml.Node, deep: bool = False) -> dict:
