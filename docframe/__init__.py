@@ -1 +1,14 @@
 """docframe: document tables and an SQL dialect on Spark DataFrames."""
+
+from docframe.bridges import load_pandas, load_polars, to_pandas, to_polars
+from docframe.errors import DocframeError
+from docframe.operators.catalog import Database, Table, execute_rows, open_folder
+from docframe.operators.edit import slugify
+from docframe.plans.parser import parse as parse_query
+from docframe.sources.markdown import normalize_heading, parse_document, validate_document
+from docframe.sources.schema import load_schema
+
+__all__ = [
+    "Database", "DocframeError", "Table", "execute_rows", "load_pandas", "load_polars", "load_schema", "normalize_heading", "open_folder",
+    "parse_document", "parse_query", "slugify", "to_pandas", "to_polars", "validate_document",
+]
