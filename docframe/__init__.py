@@ -1,14 +1,33 @@
 """docframe: document tables and an SQL dialect on Spark DataFrames."""
 
-from docframe.bridges import load_pandas, load_polars, to_pandas, to_polars
-from docframe.errors import DocframeError
-from docframe.operators.catalog import Database, Table, execute_rows, open_folder
-from docframe.operators.edit import slugify
-from docframe.plans.parser import parse as parse_query
-from docframe.sources.markdown import normalize_heading, parse_document, validate_document
-from docframe.sources.schema import load_schema
-
-__all__ = [
-    "Database", "DocframeError", "Table", "execute_rows", "load_pandas", "load_polars", "load_schema", "normalize_heading", "open_folder",
-    "parse_document", "parse_query", "slugify", "to_pandas", "to_polars", "validate_document",
-]
+from __future__ import annotations
+
+import importlib
+from typing import Any
+
+#: Public names and their modules; they are imported when first used, so that workers load only what a task needs.
+_PLACES = {
+    "Database": "operators.catalog",
+    "Table": "operators.catalog",
+    "execute_rows": "operators.catalog",
+    "open_folder": "operators.catalog",
+    "DocframeError": "errors",
+    "slugify": "operators.edit",
+    "parse_query": "plans.parser",
+    "normalize_heading": "sources.markdown",
+    "parse_document": "sources.markdown",
+    "validate_document": "sources.markdown",
+    "load_schema": "sources.schema",
+    "load_pandas": "bridges",
+    "load_polars": "bridges",
+    "to_pandas": "bridges",
+    "to_polars": "bridges",
+}
+__all__ = list(_PLACES)
+
+
+def __getattr__(name: str) -> Any:
+    if name not in _PLACES:
+        raise AttributeError(f"module 'docframe' has no attribute '{name}'")
+    module = importlib.import_module(f"docframe.{_PLACES[name]}")
+    return getattr(module, "parse" if name == "parse_query" else name)
