@@ -149,7 +149,7 @@ def display_text(value: object) -> str:
         case float():
             return number_text(value)
         case dt.datetime():
-            return value.strftime("%Y-%m-%dT%H:%M:%S")
+            return value.isoformat(timespec="seconds")
         case dt.date():
             return value.isoformat()
         case list() | tuple():
