@@ -112,30 +112,25 @@ class Binder:
 
     # relations
 
-    def _table(self, table: Table, qualifier: str | None, joined: bool) -> tuple[DataFrame, list[Field], Table]:
+    def _table(self, table: Table, qualifier: str | None) -> tuple[DataFrame, list[Field], Table]:
         """The table under positional names that no other table of the statement has."""
         k = self._tables
         self._tables += 1
-        fields, columns = [], []
-        for i, f in enumerate(table.df.schema.fields):
-            internal = f"t{k}_c{i}"
-            short = f.name.split(".", 1)[1] if "." in f.name else None
-            fields.append(Field(f.name, internal, f.dataType, qualifier, f.name in table.hidden, short))
-            columns.append(table.df[quoted(f.name)] if _once(table.df, f.name) else F.col(f"__{i}"))
-        df = table.df if all(_once(table.df, f.name) for f in table.df.schema.fields) else table.df.toDF(*[f"__{i}" for i in range(len(fields))])
-        if df is not table.df:
-            columns = [F.col(f"__{i}") for i in range(len(fields))]
-        return df.select(*[c.alias(f.internal) for c, f in zip(columns, fields, strict=True)]), fields, table
-
-    def _source(self, ref: t.TableRef | t.Derived, joined: bool) -> tuple[DataFrame, list[Field], Table]:
+        fields = [
+            Field(f.name, f"t{k}_c{i}", f.dataType, qualifier, f.name in table.hidden, f.name.split(".", 1)[1] if "." in f.name else None)
+            for i, f in enumerate(table.df.schema.fields)
+        ]
+        return table.df.toDF(*[f.internal for f in fields]), fields, table
+
+    def _source(self, ref: t.TableRef | t.Derived) -> tuple[DataFrame, list[Field], Table]:
         if isinstance(ref, t.Derived):
-            return self._table(Table(self.select(ref.query)), ref.alias, joined)
+            return self._table(Table(self.select(ref.query)), ref.alias)
         table = self.resolve(ref.name)
-        return self._table(table, ref.alias or ref.name, joined)
+        return self._table(table, ref.alias or ref.name)
 
     def _relation(self, query: t.Select) -> tuple[DataFrame, Scope]:
         joined = bool(query.joins)
-        df, fields, table = self._source(query.source, joined)
+        df, fields, table = self._source(query.source)
         scope = Scope(fields, self.strict, joined)
         by_name = {f.name: f.internal for f in fields}
         scope.key = by_name.get(table.key) if table.key else None
@@ -143,7 +138,7 @@ class Binder:
             scope.open_maps = [by_name[m] for m in table.open_maps]
             scope.star = table.star
         for join in query.joins:
-            right, more, _ = self._source(join.table, joined)
+            right, more, _ = self._source(join.table)
             left_value, right_value = self._sides(join, scope, Scope(more, True, joined))
             a, b = v.comparable(left_value, right_value)
             df = df.join(right, a == b, "inner")
@@ -340,7 +335,3 @@ class Binder:
 
 def _leaf(part: str) -> t.Node:
     return t.Literal(int(part)) if part.isdigit() else t.Name(part)
-
-
-def _once(df: DataFrame, name: str) -> bool:
-    return df.columns.count(name) == 1

@@ -45,6 +45,7 @@ def test_query_matches_duckdb(spark, name):
 
 
 def _plan(spark, sql):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     df = Binder(queries.tables(spark, DATA)).select(parse(sql))
     return df._jdf.queryExecution().executedPlan().toString()
 
