@@ -18,6 +18,20 @@ _PLACES = {
     "parse_document": "sources.markdown",
     "validate_document": "sources.markdown",
     "load_schema": "sources.schema",
+    "parse_file": "files",
+    "validate_file": "files",
+    "load_table": "files",
+    "execute_query_folder": "files",
+    "stamp_file": "files",
+    "atomic_write": "files",
+    "recover_journal": "files",
+    "rename_frontmatter_key_in_file": "files",
+    "drop_frontmatter_key_in_file": "files",
+    "rename_section_in_file": "files",
+    "drop_section_in_file": "files",
+    "merge_sections_in_file": "files",
+    "update_schema": "files",
+    "FieldIndex": "operators.field_index",
     "load_pandas": "bridges",
     "load_polars": "bridges",
     "to_pandas": "bridges",

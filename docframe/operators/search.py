@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,15 +52,41 @@ def search(df: DataFrame, query: str, key: str, columns: Sequence[str], field: s
     rows = df.select(F.col(quoted(key)).cast("string").alias("key"), terms(text).alias("terms"))
     counts = [F.size(F.filter("terms", _is(w))).cast("double").alias(f"n{i}") for i, w in enumerate(wanted)]
     held = rows.select("key", F.size("terms").cast("double").alias("length"), *counts)
-    stats = held.agg(
-        F.count(F.lit(1)).cast("double").alias("rows"),
-        F.avg("length").alias("mean"),
-        *[F.sum((F.col(f"n{i}") > 0).cast("double")).alias(f"d{i}") for i in range(len(wanted))],
-    )
-    found = held.where(" or ".join(f"n{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(stats))  # one row
+    # one row of totals comes to the driver, so that the score is arithmetic on literals
+    totals = held.agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"), *[F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(wanted))]
+    ).first()
+    found = held.where(" or ".join(f"n{i} > 0" for i in range(len(wanted))))
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        n, d = F.col(f"n{i}"), F.col(f"d{i}")
-        rarity = F.log(1 + (F.col("rows") - d + 0.5) / (d + 0.5))
-        score = score + rarity * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        score = score + _weight(totals["rows"], totals[f"d{i}"] or 0) * _saturation(F.col(f"n{i}"), F.col("length"), totals["mean"] or 1.0)
     return found.select("key", score.alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+
+
+def _weight(rows: int, having: int) -> float:
+    return math.log(1 + (rows - having + 0.5) / (having + 0.5))
+
+
+def _saturation(n: Column, length: Column, mean: float) -> Column:
+    return n * (K1 + 1) / (n + K1 * (1 - B + B * length / F.lit(float(mean) or 1.0)))
+
+
+def search_index(index: DataFrame, query: str, field: str | None = None, limit: int = RESULTS) -> DataFrame:
+    """The same search over a written index: only the query's terms are read from it.
+
+    A row's fields count as texts of their own, and its score is their sum.
+    """
+    spark = index.sparkSession
+    wanted = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query))))).collect()]
+    own = index.where(F.col("field") == field) if field else index
+    if not wanted:
+        return spark.createDataFrame([], "key string, score double")
+    texts = own.groupBy("key", "field").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean")).first()
+    hits = own.where(F.col("term").isin(wanted))
+    having = {r["term"]: r["count"] for r in hits.groupBy("term").count().collect()}  # as many as the query has terms
+    if not having:
+        return spark.createDataFrame([], "key string, score double")
+    weight = F.create_map(*[F.lit(x) for t, d in having.items() for x in (t, _weight(texts["rows"], d))])[F.col("term")]
+    score = weight * _saturation(F.col("n").cast("double"), F.col("length").cast("double"), texts["mean"])
+    scored = hits.groupBy(F.col("key").cast("string").alias("key")).agg(F.sum(score).alias("score"))
+    return scored.orderBy(F.desc("score"), "key").limit(limit)
