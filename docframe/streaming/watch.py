@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from docframe.errors import DocframeError
 from docframe.operators.catalog import Database
 from docframe.operators.foreign_keys import key_violations
 from docframe.sources.markdown import Problem
@@ -86,8 +87,11 @@ class Watcher:
         self._query = None
 
     def _check(self, batch: DataFrame, _: int) -> None:
-        self.database.reload()
-        found = [Problem(*r) for r in self.database.foreign_key_errors().collect()]
+        try:
+            self.database.reload()
+            found = [Problem(*r) for r in self.database.foreign_key_errors().collect()]
+        except DocframeError as e:  # a half-edited schema must not end the stream
+            found = [Problem(self.database.name, "reload_error", None, str(e))]
         with self._lock:
             self._latest = found
         if self.on_result:
