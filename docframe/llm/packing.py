@@ -26,8 +26,8 @@ ROUNDS = 240
 #: Parts in which the pieces of one length are numbered.
 SALTS = 64
 #: Runs of text and words that a worker keeps with their ids, in each of two generations.
-CACHED_RUNS = 250_000
-CACHED_WORDS = 350_000
+CACHED_RUNS = 100_000
+CACHED_WORDS = 200_000
 
 #: Characters that are encoded at once.
 CHARS_AT_ONCE = 1 << 22

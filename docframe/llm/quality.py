@@ -26,7 +26,9 @@ SHARD_BYTES = 64 << 20
 #: Trusted ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Characters whose symbols are held at once.
-CHARS_AT_ONCE = 1 << 21
+CHARS_AT_ONCE = 1 << 20
+#: Languages whose counts a task holds at once.
+LANGS_AT_ONCE = 16
 UNKNOWN_LANG = ""
 
 
@@ -109,30 +111,49 @@ def _own(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray,
         yield who, code[at], np.repeat(np.arange(len(held)), count), count
 
 
+class _Counts:
+    """N-gram counts of one language: sorted distinct codes, and codes still to be merged into them."""
+
+    def __init__(self) -> None:
+        self.code, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.pending: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, code: np.ndarray) -> None:
+        self.pending.append(code)
+        self.waiting += len(code)
+        if self.waiting >= CHARS_AT_ONCE:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            code, n = np.unique(np.concatenate(self.pending), return_counts=True)
+            every = np.concatenate([self.code, code])
+            self.code, at = np.unique(every, return_inverse=True)
+            self.n = np.bincount(at, np.concatenate([self.n, n])).astype(np.int64)
+            self.pending, self.waiting = [], 0
+
+    def batch(self, lang: str) -> pa.RecordBatch:
+        self.merge()
+        lang_column = pa.array([lang] * len(self.code), pa.string())
+        return pa.RecordBatch.from_arrays([lang_column, pa.array(self.code), pa.array(self.n)], ["lang", "gram", "n"])
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-gram counts by language of a whole partition, with bounded memory."""
-    held: dict[str, np.ndarray] = {}
+    """N-gram counts by language of a whole partition, of at most LANGS_AT_ONCE languages at a time."""
+    held: dict[str, _Counts] = {}
     for b in batches:
         langs = b["lang"].to_pylist()
         texts = b["text"].to_pylist()
         for lang in dict.fromkeys(langs):
-            if lang not in held:
-                if len(held) >= 4:
-                    yield _counts(*next(iter(held.items())))
-                    held.pop(next(iter(held)))
-                held[lang] = np.zeros(1 << (BITS * ORDER), np.int32)
+            if lang not in held and len(held) >= LANGS_AT_ONCE:
+                first = next(iter(held))
+                yield held.pop(first).batch(first)
+            counts = held.setdefault(lang, _Counts())
             for _, code, _, _ in _own([t for t, x in zip(texts, langs, strict=True) if x == lang]):
-                code, n = np.unique(code, return_counts=True)
-                held[lang][code] += n.astype(np.int32)
+                counts.add(code)
     for lang, counts in held.items():
-        yield _counts(lang, counts)
-
-
-def _counts(lang: str, counts: np.ndarray) -> pa.RecordBatch:
-    code = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(counts[code].astype(np.int64))], ["lang", "gram", "n"]
-    )
+        yield counts.batch(lang)
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
