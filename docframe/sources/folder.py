@@ -91,7 +91,10 @@ def scan_folder(spark: SparkSession, folder: str | Path, schema: TableSchema, na
         .where(F.col("_metadata.file_name") != SCHEMA_FILE)
         .select(F.col("_metadata.file_name").alias("path"), "content", F.col("modificationTime").cast("timestamp_ntz").alias("changed"))
     )
-    return parse_files(files, schema)
+    # Spark packs few small files to a task; with more tasks than slots, each takes up to 16 such packs
+    packs = files.rdd.getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-packs // 16))
+    return parse_files(files.coalesce(tasks) if tasks < packs else files, schema)
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+ROOT = str(Path(__file__).parent.parent)
+sys.path.insert(0, ROOT)
+# for the workers, which may start in another folder
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 DATA = "/root/testdata/sf0.001"
 
