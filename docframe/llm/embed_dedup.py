@@ -15,13 +15,16 @@ from docframe.llm.components import components
 from docframe.llm.storage import stored
 
 COSINE = 0.95
-TREES = 8
+TREES = 5
 LEAF = 256
 #: Half the width of the band about a split whose vectors go to both sides, in standard deviations.
-SPILL = 0.12
+SPILL = 0.08
 #: Vectors that are read to place the splits of the upper levels, and vectors of the sample in a fitted node at least.
 SAMPLE = 20_000
 NODE_SAMPLE = 40
+#: Mean cosine from which a node is not split, and sampled vectors needed to tell.
+TIGHT = 0.9
+TIGHT_LEAST = 8
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 1024
 SEED = 20_240_607
@@ -39,43 +42,67 @@ def direction(tree: int, level: int, dims: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def cut_point(p: np.ndarray, band: float) -> float:
+    """Where to split projections: of the middle half, the place with the fewest inside the band, so that
+    a dense group is not cut through; among equals the nearest to the median."""
+    own = np.sort(p)
+    places = np.quantile(own, np.linspace(0.25, 0.75, 27))
+    inside = np.searchsorted(own, places + band, side="right") - np.searchsorted(own, places - band, side="left")
+    return float(places[np.lexsort((np.abs(np.arange(27) - 13), inside))[0]])
+
+
 class Forest:
-    """Splits of each tree. Upper nodes split at the median of a sample; below, where a node has too few
-    sampled vectors, all further splits of a branch go through the centre of the last fitted node, so
-    that the forest is as small as the sample, however deep it is."""
+    """Splits of each tree. Upper nodes split where a sample has few vectors; below, where a node has too
+    few sampled vectors, all further splits of a branch go through the centre of the last fitted node, so
+    that the forest is as small as the sample, however deep it is. A node whose sampled vectors are about
+    as close to each other as linked ones is not split: its links would be cut."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL) -> None:
         self.depth, self.trees, self.dims = depth, trees, sample.shape[1] if sample.ndim == 2 else 0
         self.spill = spill
         self.fitted: list[dict[int, tuple[float, float]]] = []
         self.centre: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        self.whole: list[set[int]] = []
         for t in range(trees):
             nodes: dict[int, tuple[float, float]] = {}
             centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            whole: set[int] = set()
             held = {1: sample}
             for level in range(depth):
                 along, below = direction(t, level, self.dims), {}
                 for node, own in held.items():
+                    mean = own.mean(0)
+                    if len(own) >= TIGHT_LEAST and mean @ mean >= TIGHT:
+                        whole.add(node)
+                        continue
                     if len(own) < NODE_SAMPLE and level:
-                        centres[node] = (own.mean(0), own.std(0))
+                        centres[node] = (mean, own.std(0))
                         continue
                     p = own @ along
-                    nodes[node] = (float(np.median(p)), float(p.std()))
+                    nodes[node] = (cut_point(p, spill * float(p.std())), float(p.std()))
                     left = p < nodes[node][0]
-                    below[2 * node], below[2 * node + 1] = own[left], own[~left]
-                    for k in (2 * node, 2 * node + 1):
-                        if not len(below[k]):
-                            centres[k] = (own.mean(0), own.std(0))
-                            del below[k]
+                    for k, part in ((2 * node, own[left]), (2 * node + 1, own[~left])):
+                        if len(part):
+                            below[k] = part
+                        else:
+                            centres[k] = (mean, own.std(0))
                 held = below
             self.fitted.append(nodes)
             self.centre.append(centres)
+            self.whole.append(whole)
 
     def leaves(self, vectors: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf of the tree that a unit vector falls into; leaves are numbered in the tree."""
         rows, nodes = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
         last = np.zeros(len(vectors), np.int64)
+        done_rows, done_nodes = [], []
+        whole = np.array(sorted(self.whole[tree]), np.int64)
         for level in range(self.depth):
+            if len(whole):
+                ends = np.isin(nodes, whole)
+                done_rows.append(rows[ends])
+                done_nodes.append(nodes[ends])
+                rows, nodes, last = rows[~ends], nodes[~ends], last[~ends]
             along = direction(tree, level, self.dims)
             p = (vectors @ along)[rows]
             cut, width = np.empty(len(rows)), np.empty(len(rows))
@@ -96,7 +123,7 @@ class Forest:
             rows = np.concatenate([rows[left], rows[right]])
             nodes = np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
             last = np.concatenate([last[left], last[right]])
-        return rows, nodes
+        return np.concatenate([*done_rows, rows]), np.concatenate([*done_nodes, nodes])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
