@@ -78,7 +78,15 @@ def hits(folded: str, automaton: ahocorasick.Automaton | None) -> list[tuple[int
             excused.append((start, end))
         elif start not in best or best[start][1] < w:
             best[start] = (end, w)
-    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in excused)]
+    out, reach, k = [], -1, 0
+    excused.sort()
+    for start, (end, w) in sorted(best.items()):
+        while k < len(excused) and excused[k][0] <= start:
+            reach = max(reach, excused[k][1])
+            k += 1
+        if end > reach:
+            out.append((start, end, w))
+    return out
 
 
 def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float]:
