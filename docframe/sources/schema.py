@@ -1,4 +1,4 @@
-"""Table schemas and database configurations: the `_mdql.md` files of a database folder."""
+"""Table schemas and database configurations: the schema files of a database folder."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from docframe.errors import DatabaseConfigError, QueryParseError, SchemaInvalidE
 from docframe.functions.values import DECLARED
 from docframe.sources.frontmatter import FrontMatterError, load_yaml
 
-#: Fixed value: the name of schema and configuration files.
+#: Fixed value, part of the file format: the name of schema and configuration files.
 SCHEMA_FILE = "_mdql.md"
 STAMPS = ("created", "modified")
 

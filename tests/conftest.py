@@ -10,6 +10,8 @@ sys.path.insert(0, ROOT)
 # for the workers, which may start in another folder
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
+from docframe.sources.schema import SCHEMA_FILE  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -30,7 +32,7 @@ def spark(tmp_path_factory):
 
 
 SHOP = {
-    "_mdql.md": """---
+    SCHEMA_FILE: """---
 type: database
 name: shop
 foreign_keys:
@@ -47,7 +49,7 @@ views:
 
 # shop
 """,
-    "customers/_mdql.md": """---
+    f"customers/{SCHEMA_FILE}": """---
 type: schema
 table: customers
 frontmatter:
@@ -57,7 +59,7 @@ h1: {required: false}
 """,
     "customers/ann.md": '---\ntitle: "Ann"\n---\n',
     "customers/bob.md": '---\ntitle: "Bob"\n---\n',
-    "orders/_mdql.md": """---
+    f"orders/{SCHEMA_FILE}": """---
 type: schema
 table: orders
 frontmatter:
@@ -148,7 +150,7 @@ colour: red
 
 ## Extra
 """,
-    "tags/_mdql.md": "---\ntype: schema\ntable: tags\nh1: {required: false}\nrules: {reject_unknown_frontmatter: false, reject_unknown_sections: false}\n---\n",
+    f"tags/{SCHEMA_FILE}": "---\ntype: schema\ntable: tags\nh1: {required: false}\nrules: {reject_unknown_frontmatter: false, reject_unknown_sections: false}\n---\n",
     "tags/red.md": "---\ncolour: warm\n---\n\n## Use\n\nalerts\n",
     "tags/green.md": "---\nrank: 4\n---\n",
 }

@@ -8,7 +8,7 @@ from docframe.errors import DatabaseConfigError, SchemaInvalidError, SchemaNotFo
 from docframe.operators import edit
 from docframe.sources.frontmatter import FrontMatterError, load_yaml
 from docframe.sources.markdown import document_row, normalize_heading, parse_document, validate_document
-from docframe.sources.schema import FieldSpec, SectionSpec, TableSchema, load_database_config, load_schema, parse_schema, schema_text
+from docframe.sources.schema import SCHEMA_FILE, FieldSpec, SectionSpec, TableSchema, load_database_config, load_schema, parse_schema, schema_text
 
 
 @pytest.mark.parametrize(
@@ -90,7 +90,7 @@ def test_schema_errors(tmp_path):
         load_schema(tmp_path)
     with pytest.raises(DatabaseConfigError):
         load_database_config(tmp_path)
-    (tmp_path / "_mdql.md").write_text("---\ntype: database\nname: x\nforeign_keys:\n  - {from: a, to: b.c}\n---\n")
+    (tmp_path / SCHEMA_FILE).write_text("---\ntype: database\nname: x\nforeign_keys:\n  - {from: a, to: b.c}\n---\n")
     with pytest.raises(DatabaseConfigError):
         load_database_config(tmp_path)
     assert parse_schema(schema_text(STRICT)) == STRICT

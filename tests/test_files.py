@@ -4,6 +4,7 @@ import datetime as dt
 
 import docframe
 from docframe.operators.search import build_index, search, search_index
+from docframe.sources.schema import SCHEMA_FILE
 
 
 def test_functions_by_path(spark, shop):
@@ -21,7 +22,7 @@ def test_functions_by_path(spark, shop):
     assert docframe.rename_section_in_file(first, "Go-Live Notes", "Notes") and docframe.merge_sections_in_file(first, ["Summary", "Notes"], "All", True)
     assert [s.name for s in docframe.parse_file(first).sections] == ["All"] and docframe.drop_section_in_file(first, "All")
     assert docframe.parse_file(first).sections == []
-    assert docframe.update_schema(shop / "orders/_mdql.md", rename=("amount", "total"), drop="tags")
+    assert docframe.update_schema(shop / "orders" / SCHEMA_FILE, rename=("amount", "total"), drop="tags")
     schema = docframe.load_schema(shop / "orders")
     assert "total" in schema.fields and "tags" not in schema.fields
 
