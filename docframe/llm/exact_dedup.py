@@ -111,9 +111,10 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row for each distinct text, all columns unchanged; see exact_dedup for which."""
     kept = exact_dedup(docs, id_col, text_col, **options).where("kept")
-    keep = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    joined = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(
-        keep, (F.col("__own") == F.col("__sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    )
-    first = Window.partitionBy("__sha", "__id").orderBy("__own")
-    return joined.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
+    key = lambda sha, ident: F.concat_ws(":", sha, ident.cast("string"))
+    keep = kept.select(key(F.col("text_sha256"), F.col("doc_id")).alias("__kept")).distinct()
+    own = key(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.col(id_col).cast("long"))
+    # the window has the join's key, so that texts are shuffled once for both
+    joined = docs.withColumn("__own", own).join(keep, F.col("__own") == F.col("__kept"))
+    first = F.row_number().over(Window.partitionBy("__own").orderBy("__own"))
+    return joined.withColumn("__row", first).where("__row = 1").select(*docs.columns)
