@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.storage import stored
+
 #: Labelled rows from which lexicon, exceptions and calibration are learned, at most, by hash of the id.
 FIT_ROWS = 20_000
 #: Texts of more characters are left out of the labelled sample.
@@ -185,7 +187,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # as many ids as fit_rows, about, by the share
     chosen = marked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= FIT_CHARS)
-    sample = rows.join(F.broadcast(chosen), "id").select("text", "toxic")
+    # written once, so that the passes below don't read all documents each
+    sample = stored(rows.join(F.broadcast(chosen), "id").select("text", "toxic"), "toxicity-sample")
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic:
