@@ -217,7 +217,10 @@ def embedding_groups(
     Other columns are ignored; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # stored as they come, floats take half the room of doubles in each exchange; tasks compute in double
+    kind = dict(vectors.dtypes)[vector_col]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     sizes = rows.where(usable(F.col("vector"))).groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     dims = sizes[0]["dims"] if sizes else 0
     good = usable(F.col("vector")) & (F.size("vector") == dims)
@@ -233,9 +236,7 @@ def embedding_groups(
         points = np.zeros((1, 1))
     forest = spark.sparkContext.broadcast(Forest(points, max(0, math.ceil(math.log2(max(n, 1) / leaf))), trees, spill))
     routed = stored(
-        reps.mapInArrow(_router(forest), "rep long, weight long, vector array<double>, leaves array<long>").withColumn(
-            "vector", F.col("vector").cast("array<float>") if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col("vector")
-        ),
+        reps.mapInArrow(_router(forest), f"rep long, weight long, vector {kind}, leaves array<long>"),
         "routed",
     )
     at = routed.select("rep", F.explode("leaves").alias("leaf"))
