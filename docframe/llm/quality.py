@@ -222,9 +222,10 @@ def _scorer(models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 own = [i for i, x in enumerate(langs) if x == lang]
                 bits[own] = bits_per_char([texts[i] for i in own], *tables[lang])
             length = np.array([len(t) for t in texts], np.int64)
+            more = [c for c in b.schema.names if c == "text_hash"]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["lang"], pa.array(length), pa.array(bits, mask=np.isnan(bits)), b["trusted"], b["held_out"]],
-                ["doc_id", "lang", "length", "bits", "trusted", "held_out"],
+                [b["doc_id"], b["lang"], pa.array(length), pa.array(bits, mask=np.isnan(bits)), b["trusted"], b["held_out"], *[b[c] for c in more]],
+                ["doc_id", "lang", "length", "bits", "trusted", "held_out", *more],
             )
 
     return score
@@ -239,8 +240,9 @@ def quality_scores(
     quantile: float = QUANTILE,
     slack: float = SLACK,
     shard_bytes: int = SHARD_BYTES,
+    hashed: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, lang, perplexity (a character), threshold, kept.
+    """One row per input row: doc_id, lang, perplexity (a character), threshold, kept, and text_hash if hashed.
 
     trusted holds the ids (column id_col) of trusted documents. All of their text trains one model of
     four-symbol grams for each language (one fifth by id hash is held out to set the thresholds), so that
@@ -254,16 +256,18 @@ def quality_scores(
     if its bits a character do not exceed it. Empty and null texts have no perplexity and are not kept.
     A language without trusted text has no threshold and all its documents with text are kept; a null
     language is one of its own. Repeated rows each get a row; other columns are ignored; empty tables
-    give an empty table.
+    give an empty table. text_hash is xxhash64 of the text (null as empty), to tell rows of one id apart.
     """
     spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_trusted", F.lit(True))
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    more = ["text_hash"] if hashed else []
     rows = (
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+            *[F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(c) for c in more],
         )
         .join(ids, "doc_id", "left")
         .withColumn("trusted", F.coalesce("is_trusted", F.lit(False)))
@@ -285,11 +289,11 @@ def quality_scores(
             room = shard_bytes
         shards[-1].append(lang)
         room -= size
-    columns = ["doc_id", "lang", "text", "trusted", "held_out"]
-    out = "doc_id long, lang string, length long, bits double, trusted boolean, held_out boolean"
+    columns = ["doc_id", "lang", "text", "trusted", "held_out", *more]
+    out = "doc_id long, lang string, length long, bits double, trusted boolean, held_out boolean" + "".join(f", {c} long" for c in more)
     known = [x for s in shards for x in s]
     scored = rows.where(~F.col("lang").isin(known)).select(
-        "doc_id", "lang", F.length("text").cast("long").alias("length"), F.lit(None).cast("double").alias("bits"), "trusted", "held_out"
+        "doc_id", "lang", F.length("text").cast("long").alias("length"), F.lit(None).cast("double").alias("bits"), "trusted", "held_out", *more
     )
     for shard in shards:
         held = {r["lang"]: (bytes(r["at"]), bytes(r["rows"])) for r in models.where(F.col("lang").isin(shard)).collect()}
@@ -310,4 +314,5 @@ def quality_scores(
         F.pow(F.lit(2.0), "bits").alias("perplexity"),
         F.pow(F.lit(2.0), threshold).alias("threshold"),
         kept.alias("kept"),
+        *more,
     )

@@ -155,6 +155,24 @@ def test_stages_on_odd_documents(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == seen[3] <= seen[2]
 
 
+def test_rows_without_or_with_one_id_go_only_by_their_text(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bdfglmn" for b in ("ar", "el", "in", "os")]
+    text = lambda n=300: " ".join(rng.choices(words, k=n)) + "."
+    rows = [(i, text()) for i in range(40)] + [(None, text()) for _ in range(6)] + [(60, text()) for _ in range(3)]
+    far = text()
+    rows += [(90, far), (91, far), (91, text()), (None, far)]
+    junk = [(None, "%$!! " * 80), (60, "#!$% " * 90)]
+    root = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    made = lambda some: spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in some], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    held = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert held(corpus_pipeline.keep_quality(spark, made(rows + junk), root)) == Counter(rows)
+    # of the three rows of one text that of the smallest id stays; every other text is a row
+    assert held(corpus_pipeline.drop_near_copies(spark, made(rows + rows[:1]), root)) == Counter(r for r in rows if r not in ((91, far), (None, far)))
+
+
 def test_run_equals_its_stages_without_documents(spark, tmp_path):
     root = tmp_path / "empty"
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(str(root / "documents.parquet"))
