@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 #: Actions of an entry. "remove" ends what the list said of the pattern before.
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
-#: Path segments of a pattern, at most, after the host.
-SEGMENTS = 2
 
 
 def url_host(url: Column) -> Column:
@@ -22,15 +20,21 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
 
 
-def url_patterns(url: Column) -> Column:
+def list_pattern(pattern: Column) -> Column:
+    """A listed pattern as it is compared: the host in lower case, the path, if any, as it is."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
+def url_patterns(url: Column, segments_most: int) -> Column:
     """The patterns that match a URL: its host, each parent domain of two labels or more, and the host
-    with its first path segments."""
+    with its first path segments, up to segments_most of them."""
     labels = F.split(url_host(url), r"\.")
     n = F.size(labels)
     first = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
     domains = F.transform(first, lambda i: F.array_join(F.slice(labels, i, n), "."))
     segments = F.filter(F.split(url_path(url), "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(SEGMENTS))
+    depth = F.least(F.size(segments), F.lit(segments_most))
     paths = F.when(
         depth > 0,
         F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat_ws("/", F.array(url_host(url)), F.slice(segments, 1, i))),
@@ -42,11 +46,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """Entries (list_name, pattern, action, listed_at) as intervals (..., valid_from, valid_to).
 
     What a list says of a pattern holds from its date until the list's next entry for the pattern, or
-    without end (null). Of several entries at one time the last action by name counts. Entries without
+    without end (null). Case counts only in a pattern's path. Of several entries at one time the last action by name counts. Entries without
     pattern, action or date are ignored; "remove" leaves a gap.
     """
     dated = (
-        entries.select(F.coalesce("list_name", F.lit("")).alias("list_name"), F.lower("pattern").alias("pattern"), "action", "listed_at")
+        entries.select(F.coalesce("list_name", F.lit("")).alias("list_name"), list_pattern(F.col("pattern")).alias("pattern"), "action", "listed_at")
         .where("pattern is not null and action is not null and listed_at is not null")
         .groupBy("list_name", "pattern", "listed_at")
         .agg(F.max("action").alias("action"))
@@ -67,14 +71,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     A capture is judged by the entries that were active when it was fetched: n_active counts them; of
     them the longest pattern decides, then the later date, then list name and action in order. blocked
     is true if that entry's action is "block". Captures without URL, host or time match nothing and are
-    not blocked. Captures equal in id, URL and time are one. Other columns are ignored; empty tables work.
+    not blocked. Captures equal in id, URL and time are one. Path patterns match at any depth: of a URL as
+    many segments are tried as the deepest listed pattern has. Other columns are ignored; empty tables work.
 
     The as-of join is an equi-join on pattern and calendar month, to which the intervals are dealt, and
     then a comparison of times: a host that has a third of all captures is spread over as many keys as
     months, and no task sees all of its captures; adaptive execution splits what remains.
     """
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")).distinct()
-    keyed = own.select("id", "url", "at", F.explode(url_patterns(F.col("url"))).alias("pattern"), _month(F.col("at")).alias("month"))
+    deepest = entries.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"))))).first()[0] or 0
+    keyed = own.select("id", "url", "at", F.explode(url_patterns(F.col("url"), deepest)).alias("pattern"), _month(F.col("at")).alias("month"))
     span = captures.agg(F.max(_month(F.col(time_col)))).first()[0] or 0
     last = F.greatest(F.least(F.coalesce(_month(F.col("valid_to")), F.lit(span)), F.lit(span)), _month(F.col("valid_from")))
     active = validity_intervals(entries).withColumn("month", F.explode(F.sequence(_month(F.col("valid_from")), last)))

@@ -71,6 +71,15 @@ def test_urls_against_plain_python(spark):
     assert filter_urls(captures, entries.limit(0)).where("blocked or n_active > 0").count() == 0
 
 
+def test_path_patterns_of_any_depth_and_case(spark):
+    listed = ["Site.org/a/b/c", "SITE.org/Ads", "deep.net/1/2/3/4/5/6", "site.org/a"]
+    entries = spark.createDataFrame([("l", p, "block", at(1)) for p in listed], "list_name string, pattern string, action string, listed_at timestamp")
+    urls = ["http://site.org/a/b/c/d", "http://SITE.org/Ads/x", "http://site.org/ads", "http://deep.net/1/2/3/4/5/6?q", "http://deep.net/1/2/3/4/5", "http://site.org/a/B/c"]
+    captures = spark.createDataFrame([(i, u, at(2)) for i, u in enumerate(urls)], "page_id long, url string, fetch_time timestamp")
+    found = {r["page_id"]: (r["n_active"], r["pattern"]) for r in filter_urls(captures, entries).collect()}
+    assert found == {0: (2, "site.org/a/b/c"), 1: (1, "site.org/Ads"), 2: (0, None), 3: (1, "deep.net/1/2/3/4/5/6"), 4: (0, None), 5: (1, "site.org/a")}
+
+
 # mixing
 
 
