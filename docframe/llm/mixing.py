@@ -39,19 +39,26 @@ def source_key(source: Column, weights: dict[str, float]) -> Column:
     return F.when(source.isin(list(weights)), source).otherwise(F.lit(OTHER))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float], source_col: str, total: float | None = None) -> dict[str, float]:
+def source_rates(docs: DataFrame, weights: dict[str, float], source_col: str, total: float | None = None, keep_other: bool = False) -> dict[str, float]:
     """Mean repetitions of a document of each named source, and of OTHER.
 
     weights: target shares of documents, by source; they are scaled to sum to 1. OTHER may be among
-    them; if it isn't, other sources are left out. total: documents of the mixture, or else as many as
-    the named sources have. The counts that come to the driver are as many as the weights, plus one.
+    them; if it isn't, other sources are left out, or with keep_other have the share of the mixture that
+    they have of the documents (of these and of the named sources), and the weights divide what remains.
+    total: documents of the mixture, or else as many as the sources in it have. The counts that come to
+    the driver are as many as the weights, plus one.
     """
     key = source_key(F.col(source_col), {k: w for k, w in weights.items() if k != OTHER})
     counts = {r[0]: r[1] for r in docs.groupBy(key.alias("key")).count().collect()}
     named = {k: w for k, w in weights.items() if counts.get(k) and w > 0}
-    size = float(sum(counts[k] for k in named)) if total is None else float(total)
+    own = float(sum(counts[k] for k in named))
+    other = counts.get(OTHER, 0) if keep_other and OTHER not in weights else 0
+    size = own if total is None else float(total) * (own / (own + other) if own else 0.0)
     scale = sum(named.values())
-    return {k: size * w / scale / counts[k] for k, w in named.items()}
+    rates = {k: size * w / scale / counts[k] for k, w in named.items()}
+    if other:
+        rates[OTHER] = 1.0 if total is None else float(total) / (own + other)
+    return rates
 
 
 def mix_sources(
@@ -62,6 +69,7 @@ def mix_sources(
     seed: str = SEED,
     total: float | None = None,
     partitions: int | None = None,
+    keep_other: bool = False,
 ) -> DataFrame:
     """docs with each row repeated by a Poisson count, plus copy (from 0) and shuffle_key, shuffled globally.
 
@@ -69,11 +77,11 @@ def mix_sources(
     source at a number from the hash of seed and id; it depends on no other row. Copies go to tasks by
     the hash of (seed, id, copy) and are sorted by it there, so that every task is a random part of the
     mixture and a source with a third of all rows spreads evenly. Sources that have no rows take no
-    share. Rows of sources with a zero or no weight are left out, as are rows whose count is 0; a null
-    source is OTHER; a null id hashes as empty; rows that repeat an id have the same count. An empty table gives an
+    share. Rows of sources with a zero or no weight are left out (sources that weights don't name stay with
+    keep_other, see source_rates), as are rows whose count is 0; a null source is OTHER; a null id hashes as empty; rows that repeat an id have the same count. An empty table gives an
     empty table.
     """
-    rates = source_rates(docs, weights, source_col, total)
+    rates = source_rates(docs, weights, source_col, total, keep_other)
     key = source_key(F.col(source_col), {k: w for k, w in weights.items() if k != OTHER})
     parts = {k: max(1, math.ceil(r / LARGEST_PART)) for k, r in rates.items()}
     if rates:

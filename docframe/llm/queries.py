@@ -134,7 +134,7 @@ FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url = f.url AND
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, keep_other=True)
 
 
 def mix_sql(docs: str, weights: dict[str, float], seed: str = "mix", part: float = 8.0) -> str:

@@ -122,6 +122,20 @@ def test_mixture_against_plain_python(spark):
     assert mix_sources(df.limit(0), weights).count() == 0 and mix_sources(df, {}).count() == 0
 
 
+def test_no_source_disappears(spark, tmp_path):
+    rows = [(i, "x", ("src0", "src1", None, "blog", "wiki")[i % 5]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rates = source_rates(df, queries.MIX_WEIGHTS, "source", keep_other=True)
+    assert rates[OTHER] == 1.0 and {k: r for k, r in rates.items() if k != OTHER} == source_rates(df, queries.MIX_WEIGHTS, "source")
+    half = source_rates(df, queries.MIX_WEIGHTS, "source", 1000.0, keep_other=True)
+    assert all(math.isclose(half[k], r / 2) for k, r in rates.items())
+    assert source_rates(df, {}, "source", keep_other=True) == {OTHER: 1.0}
+    for found in (queries.op9_mixing(spark, str(tmp_path)), corpus_pipeline.mix(spark, df, str(tmp_path))):
+        sizes = Counter(r["source"] for r in found.collect())
+        assert all(320 < sizes[s] < 480 for s in (None, "blog", "wiki")) and sizes["src0"] > sizes["src1"] > 0
+
+
 def test_order_is_shuffled(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'a' AS source")
     ids = [r["doc_id"] for r in mix_sources(df, {"a": 1.0}).collect()]
