@@ -15,7 +15,10 @@ from docframe.llm.components import components
 from docframe.llm.storage import stored
 
 COSINE = 0.95
+#: Trees of a shallow forest; a deeper one has TREES_A_LEVEL more for each level from DEEP on, see forest_trees.
 TREES = 5
+TREES_A_LEVEL = 3
+DEEP = 7
 LEAF = 256
 #: Half the width of the band about a split whose vectors go to both sides, in standard deviations.
 SPILL = 0.08
@@ -51,13 +54,19 @@ def cut_point(p: np.ndarray, band: float) -> float:
     return float(places[np.lexsort((np.abs(np.arange(27) - 13), inside))[0]])
 
 
+def forest_trees(depth: int) -> int:
+    """Trees of a forest of that depth: each level cuts some links, so that a deeper tree finds fewer of them."""
+    return TREES + TREES_A_LEVEL * max(0, depth - DEEP)
+
+
 class Forest:
     """Splits of each tree. Upper nodes split where a sample has few vectors; below, where a node has too
     few sampled vectors, all further splits of a branch go through the centre of the last fitted node, so
     that the forest is as small as the sample, however deep it is. A node whose sampled vectors are about
     as close to each other as linked ones is not split: its links would be cut."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, trees: int | None = None, spill: float = SPILL) -> None:
+        trees = forest_trees(depth) if trees is None else trees
         self.depth, self.trees, self.dims = depth, trees, sample.shape[1] if sample.ndim == 2 else 0
         self.spill = spill
         self.fitted: list[dict[int, tuple[float, float]]] = []
@@ -197,7 +206,7 @@ def embedding_groups(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cosine: float = COSINE,
-    trees: int = TREES,
+    trees: int | None = None,
     leaf: int = LEAF,
     spill: float = SPILL,
     sample: int = SAMPLE,
@@ -206,7 +215,7 @@ def embedding_groups(
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors link if their cosine in double precision is `cosine` or more and they meet in a leaf of one of
-    `trees` trees. Null and zero vectors, and those with null or non-finite components, link with nothing,
+    `trees` trees (by default as many as the depth of the forest needs). Null and zero vectors, and those with null or non-finite components, link with nothing,
     nor do vectors of another length than most. Equal vectors are one node with a weight. Splits are
     placed by a bounded sample, every vector is routed. Inside a leaf all vectors are compared; a leaf of
     more than `block` vectors is dealt out in parts, and every two parts are compared in a task of their

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from docframe.llm.components import components
-from docframe.llm.embed_dedup import embedding_groups
+from docframe.llm.embed_dedup import Forest, embedding_groups
 from docframe.llm.exact_dedup import drop_exact_copies, exact_dedup, split_directory
 from docframe.llm.simhash import BLOCKS, block_masks, fingerprint, fingerprint_links, simhash_groups, unary_codes
 
@@ -160,3 +160,24 @@ def test_one_leaf_counts_every_pair_once(spark):
     found = embedding_groups(df, leaf=16, block=20, spill=0.5).collect()
     assert {r["component_id"] for r in found} == {0} and all(r["n_links"] <= 149 for r in found)
     assert sum(r["n_links"] for r in found) >= 0.9 * 150 * 149
+
+
+def test_deep_forest_keeps_links_of_a_dense_cluster():
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    noise = lambda n: unit(rng.standard_normal((n, 64)))
+    centre = noise(1)
+    dense = lambda n: unit(np.sqrt(0.8) * centre + np.sqrt(0.2) * noise(n))
+    a = dense(500)
+    step = noise(500)
+    step = unit(step - (step * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.955 * a + np.sqrt(1 - 0.955**2) * step])
+    # 12 levels, as of a million vectors: the sample fits about 9 of them
+    forest = Forest(np.concatenate([noise(15_000), dense(5_000)]), 12)
+    met = np.zeros(500, bool)
+    for t in range(forest.trees):
+        held = [set() for _ in x]
+        for r, n in zip(*(v.tolist() for v in forest.leaves(x, t)), strict=True):
+            held[r].add(n)
+        met |= [bool(held[i] & held[500 + i]) for i in range(500)]
+    assert met.mean() >= 0.99
