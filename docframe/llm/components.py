@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import stored
-
-MAX_ROUNDS = 60
+from docframe.llm.storage import new_path, remove
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -37,21 +35,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges may repeat and may point either way; loops and rows with a null end are ignored. Each round is
     two aggregations and two joins on the node, partial before each shuffle; a hub with many neighbours
     is a large join key, which adaptive execution splits. After each round the edges are written to the
-    shared folder. Rounds end when the edges no longer change; an empty table gives an empty table.
+    shared folder, and those of the round before are removed. Rounds end when the edges no longer change,
+    which they do: a round only ever moves edges to smaller nodes, so that the sum of their ends falls
+    until every component is a star. An empty table gives an empty table.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    now = stored(
-        edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges"
-    )
-    before = _signature(now)
-    for _ in range(MAX_ROUNDS if before[0] else 0):
-        now = stored(_small_star(_large_star(now)), "edges")
-        after = _signature(now)
+    spark = edges.sparkSession
+    first = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+
+    def write(df: DataFrame) -> tuple[str, DataFrame, tuple]:
+        path = new_path(spark, "edges")
+        df.write.parquet(path)
+        table = spark.read.schema(first.schema).parquet(path)
+        return path, table, _signature(table)
+
+    path, now, before = write(first)
+    while before[0]:
+        last = path
+        path, now, after = write(_small_star(_large_star(now)))
+        remove(spark, last)
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())

@@ -16,6 +16,7 @@ from docframe.llm.packing import pack_documents
 from docframe.llm.quality import quality_scores
 from docframe.llm.secrets import find_secrets, secret_digest
 from docframe.llm.simhash import simhash_groups
+from docframe.llm.storage import finished, scratch
 from docframe.llm.toxicity import fit_toxicity, score_toxicity
 from docframe.llm.url_filters import filter_urls
 
@@ -30,12 +31,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digest(find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"]))
+    return finished(spark, "op1", lambda: secret_digest(find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = lambda: exact_dedup(_table(spark, sf_dir, "documents"))
+    return finished(spark, "op2", lambda: found().select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
 OP2_SQL = """
@@ -46,16 +47,16 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(_table(spark, sf_dir, "documents"))
+    return finished(spark, "op3", lambda: simhash_groups(_table(spark, sf_dir, "documents")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return finished(spark, "op4", lambda: pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_scores(_table(spark, sf_dir, "documents"), trusted)
+    return finished(spark, "op5", lambda: quality_scores(_table(spark, sf_dir, "documents"), trusted))
 
 
 def _fold_number(modulus: int):
@@ -70,7 +71,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+    return finished(spark, "op7", lambda: embedding_groups(_table(spark, sf_dir, "embeddings")))
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +161,8 @@ SELECT d.*, copy, substr(md5('{seed}:' || d.doc_id || ':copy:' || copy), 1, 16)
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = fit_toxicity(docs, labels.where(_fold_number(4) != 2))
+    with scratch(spark):
+        model = fit_toxicity(docs, labels.where(_fold_number(4) != 2))
     found = score_toxicity(docs, model)
     return found.select("doc_id", (_fold_number(4) == 2).alias("held_out"), "score", "predicted")
 

@@ -8,7 +8,7 @@ import pytest
 
 from docframe.llm.components import components
 from docframe.llm.embed_dedup import Forest, embedding_groups
-from docframe.llm.exact_dedup import drop_exact_copies, exact_dedup, split_directory
+from docframe.llm.exact_dedup import build_index, drop_exact_copies, exact_dedup, split_directory
 from docframe.llm.simhash import BLOCKS, block_masks, fingerprint, fingerprint_links, simhash_groups, unary_codes
 
 ODD = "doc_id long, text string, lang string, h long, component string, bucket int, keep_id string"
@@ -181,3 +181,30 @@ def test_deep_forest_keeps_links_of_a_dense_cluster():
             held[r].add(n)
         met |= [bool(held[i] & held[500 + i]) for i in range(500)]
     assert met.mean() >= 0.99
+
+
+def test_index_compares_bytes_where_hashes_collide(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a", "b", "a", "c", "d", "a", "b", "e"]
+    rows = spark.createDataFrame([(i, 7 if t in "abc" else i, t.encode(), t, 1) for i, t in enumerate(texts)], "doc_id long, h long, sha binary, text string, rows long")
+    entries = rows.groupBy("h", "sha").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("rows"))
+    index, _ = build_index(rows, entries, capacity=1, max_depth=4)
+    found = {r["sha"].decode(): (r["keep_id"], r["group_size"], r["chain"]) for r in index.collect()}
+    assert found == {"a": (5, 3, 1), "b": (6, 2, 2), "c": (3, 1, 3), "d": (4, 1, 1), "e": (7, 1, 1)}
+
+
+def test_index_splits_and_moves_few_texts(spark, monkeypatch):
+    import docframe.llm.exact_dedup as own
+
+    rows = odd(spark, [(i, f"text {i % 900}") for i in range(1000)])
+    found = exact_dedup(rows).collect()
+    assert len({r["bucket"] for r in found}) > 1
+    monkeypatch.setattr(own, "BROADCAST_HASHES", 0)
+    assert sorted(exact_dedup(rows).collect()) == sorted(found)
+
+
+def test_survivor_of_repeated_id_and_text_is_fixed(spark):
+    rows = [(1, "x", lang) for lang in ("fr", "en", "de")]
+    kept = [drop_exact_copies(spark.createDataFrame(r, "doc_id long, text string, lang string")).collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
