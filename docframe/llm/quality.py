@@ -1,236 +1,257 @@
-"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, from sharded count joins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.storage import stored
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+#: Characters of a gram.
+ORDER = 5
 #: Trusted documents to keep below the threshold, for each language and class of length.
 QUANTILE = 0.995
 #: Above that quantile, as a factor on the bits a character.
-SLACK = 1.02
-#: Trusted documents that a class of length needs for a threshold of its own.
-CLASS_LEAST = 100
-#: Bytes of models that are broadcast for one pass over the documents.
-SHARD_BYTES = 64 << 20
+SLACK = 1.0
+#: Held-out trusted documents that a class of length needs for a threshold of its own.
+CLASS_LEAST = 50
+#: Most frequent grams whose probabilities are broadcast; rarer ones are joined, by shards of the gram.
+COMMON = 1 << 19
 #: Trusted ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
-#: Characters whose symbols are held at once.
+#: Characters whose grams are counted at once.
 CHARS_AT_ONCE = 1 << 20
-#: Languages whose counts a task holds at once.
-LANGS_AT_ONCE = 16
+#: Distinct characters at once, so that a gram of ORDER of them is a 64-bit number.
+SYMBOLS = 1 << (64 // ORDER)
+#: Distinct grams that a task holds before it sends counts on.
+GRAMS_HELD = 1 << 21
+PAD = ord(" ")
 UNKNOWN_LANG = ""
 
 
-def _symbols() -> np.ndarray:
-    """The symbol of each code point: case is one symbol, rarer letters share by their number."""
-    table = 44 + np.arange(0x110000) % 20
-    for c in range(0x250):
-        if chr(c).isupper():
-            table[c] = 28
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        table[ord(c)] = 1 + i
-    table[[ord(c) for c in "0123456789"]] = 27
-    for i, group in enumerate((".", ",", "!", "?", "'\"’“”", "-–—", ":;", "()[]{}", "*", "#", "%", "&", "$", "/\\@=+<>|", "_~^`")):
-        table[[ord(c) for c in group]] = 29 + i
-    table[[c for c in range(0x3001) if chr(c).isspace()] + list(range(32))] = 0
-    return table.astype(np.uint8)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-TABLE = _symbols()
+def text_runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points, owner) of whole texts, at most about CHARS_AT_ONCE at a time.
+
+    Before each text stand ORDER - 1 spaces; a text that does not fit one run goes on in the next after its last
+    ORDER - 1 characters. The owner is the number of the text, or -1 where no gram ends: in these first characters.
+    """
+    pad = np.full(ORDER - 1, PAD, np.uint32)
+    nobody = np.full(ORDER - 1, -1, np.int64)
+    points: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+    held = 0
+    for i, text in enumerate(texts):
+        own, before = _points(text), pad
+        for at in range(0, len(own), CHARS_AT_ONCE):
+            part = own[at : at + CHARS_AT_ONCE]
+            points += [before, part]
+            owner += [nobody, np.full(len(part), i)]
+            before = np.concatenate([before, part])[-(ORDER - 1) :]
+            held += len(part)
+            if held >= CHARS_AT_ONCE:
+                yield np.concatenate(points), np.concatenate(owner)
+                points, owner, held = [], [], 0
+    if points:
+        yield np.concatenate(points), np.concatenate(owner)
+
+
+def run_grams(points: np.ndarray, owner: np.ndarray, symbols: int = SYMBOLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(grams, which, owner): distinct grams as rows of ORDER code points; for each gram that ends at an owned
+    place its row and owner. A run with more distinct characters than `symbols` is halved."""
+    known = np.zeros(0x110000, bool)
+    known[points] = True
+    alphabet = np.flatnonzero(known)
+    if len(alphabet) > symbols:
+        half = len(points) // 2
+        start = max(0, half - ORDER + 1)
+        rest = owner[start:].copy()
+        rest[: half - start] = -1
+        yield from run_grams(points[:half], owner[:half], symbols)
+        yield from run_grams(points[start:], rest, symbols)
+        return
+    number = np.zeros(0x110000, np.uint64)
+    number[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    s = number[points]
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    code = np.zeros(max(0, len(s) - ORDER + 1), np.uint64)
+    for k in range(ORDER):
+        code = (code << np.uint64(bits)) | s[k : len(s) - ORDER + 1 + k]
+    own = owner[ORDER - 1 :]
+    some = own >= 0
+    distinct, which = np.unique(code[some], return_inverse=True)
+    places = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+    grams = alphabet[((distinct[:, None] >> places) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    yield grams.astype(np.uint32), which, own[some]
 
 
-def text_symbols(text: str) -> np.ndarray:
-    return TABLE[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+def _strings(grams: np.ndarray) -> list[str]:
+    """The rows of code points as texts."""
+    text = np.ascontiguousarray(grams, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
 
-def joined_symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts one after the other, each after ORDER - 1 spaces, and where each begins."""
-    pad = np.zeros(ORDER - 1, np.uint8)
-    parts = [p for t in texts for p in (pad, text_symbols(t))]
-    sizes = np.array([len(p) for p in parts], np.int64).reshape(-1, 2)
-    return np.concatenate(parts) if parts else pad[:0], np.cumsum(sizes.sum(1)) - sizes[:, 1]
+def _utf8(strings: list[str]) -> pa.Array:
+    return pa.array([s.encode("utf-8", "replace") for s in strings], pa.binary()).cast(pa.string())
 
 
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """The code of the n-gram that ends at each symbol from the ORDER-th on."""
-    s = symbols.astype(np.int32)
-    code = np.zeros(max(0, len(s) - ORDER + 1), np.int32)
+def gram_keys(grams: np.ndarray, lang: str) -> np.ndarray:
+    """A 64-bit hash of each gram with the language, the same in every task."""
+    seed = sum((ord(c) + 1) * 1_000_003 ** (i + 1) for i, c in enumerate(lang)) % (1 << 64)
+    key = np.full(len(grams), seed, np.uint64)
     for k in range(ORDER):
-        code = (code << BITS) | s[k : len(s) - ORDER + 1 + k]
-    return code
-
-
-def _parts(texts: list[str]) -> Iterator[tuple[int, str]]:
-    """(text number, part): whole texts in parts of bounded size; each next part repeats ORDER - 1 characters."""
-    for i, t in enumerate(texts):
-        for at in range(0, max(len(t), 1), CHARS_AT_ONCE):
-            yield i, t[max(0, at - ORDER + 1) : at + CHARS_AT_ONCE]
-
-
-def _runs(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    who: list[int] = []
-    held: list[str] = []
-    chars = 0
-    for i, part in _parts(texts):
-        who.append(i)
-        held.append(part)
-        chars += len(part)
-        if chars >= CHARS_AT_ONCE:
-            yield who, held
-            who, held, chars = [], [], 0
-    if held:
-        yield who, held
-
-
-def _own(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of parts: text numbers, codes of the grams that count, part of each, and how many each part has."""
-    seen: set[int] = set()
-    for who, held in _runs(texts):
-        symbols, first = joined_symbols(held)
-        code = grams(symbols)
-        size = np.array([len(h) for h in held], np.int64)
-        # the symbol at position p ends the gram p - ORDER + 1; a part after the first has counted its first symbols before
-        skip = np.zeros(len(held), np.int64)
-        for k, i in enumerate(who):
-            if i in seen:
-                skip[k] = ORDER - 1
-            seen.add(i)
-        count = size - skip
-        at = np.repeat(first + skip - (np.cumsum(count) - count), count) + np.arange(count.sum()) - (ORDER - 1)
-        yield who, code[at], np.repeat(np.arange(len(held)), count), count
-
-
-class _Counts:
-    """N-gram counts of one language: sorted distinct codes, and codes still to be merged into them."""
-
-    def __init__(self) -> None:
-        self.code, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.pending: list[np.ndarray] = []
-        self.waiting = 0
-
-    def add(self, code: np.ndarray) -> None:
-        self.pending.append(code)
-        self.waiting += len(code)
-        if self.waiting >= CHARS_AT_ONCE:
-            self.merge()
-
-    def merge(self) -> None:
-        if self.waiting:
-            code, n = np.unique(np.concatenate(self.pending), return_counts=True)
-            every = np.concatenate([self.code, code])
-            self.code, at = np.unique(every, return_inverse=True)
-            self.n = np.bincount(at, np.concatenate([self.n, n])).astype(np.int64)
-            self.pending, self.waiting = [], 0
-
-    def batch(self, lang: str) -> pa.RecordBatch:
-        self.merge()
-        lang_column = pa.array([lang] * len(self.code), pa.string())
-        return pa.RecordBatch.from_arrays([lang_column, pa.array(self.code), pa.array(self.n)], ["lang", "gram", "n"])
+        key = (key ^ grams[:, k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _by_lang(langs: list[str], texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+    own: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        own.setdefault(lang, []).append(i)
+    yield from own.items()
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-gram counts by language of a whole partition, of at most LANGS_AT_ONCE languages at a time."""
-    held: dict[str, _Counts] = {}
+    """(lang, gram, n_model, n): counts of each gram in the model's documents and in all, by parts of a partition."""
+    held: dict[str, dict[str, list[int]]] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            n = np.array(list(counts.values()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(n), pa.string()), _utf8(list(counts)), pa.array(n[:, 0]), pa.array(n[:, 1])],
+                ["lang", "gram", "n_model", "n"],
+            )
+        held.clear()
+
     for b in batches:
-        langs = b["lang"].to_pylist()
-        texts = b["text"].to_pylist()
-        for lang in dict.fromkeys(langs):
-            if lang not in held and len(held) >= LANGS_AT_ONCE:
-                first = next(iter(held))
-                yield held.pop(first).batch(first)
-            counts = held.setdefault(lang, _Counts())
-            for _, code, _, _ in _own([t for t, x in zip(texts, langs, strict=True) if x == lang]):
-                counts.add(code)
-    for lang, counts in held.items():
-        yield counts.batch(lang)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts 1, 2 and 3 or more, from the counts of counts."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each context of three symbols, log2 of the probability of each next symbol by row).
-
-    The highest order has the counts themselves; each lower order has the numbers of different symbols
-    that come before. A context never seen takes the row of its last two symbols. At most 2**18 + 2**12
-    rows, whatever the corpus.
+        texts, learn = b["text"].to_pylist(), np.array(b["learn"].to_pylist(), bool)
+        for lang, rows in _by_lang(b["lang"].to_pylist(), texts):
+            mine = learn[rows]
+            counts = held.setdefault(lang, {})
+            before = len(counts)
+            for points, owner in text_runs([texts[i] for i in rows]):
+                for grams, which, own in run_grams(points, owner):
+                    n = np.bincount(which, minlength=len(grams))
+                    n_model = np.bincount(which, mine[own], len(grams)).astype(np.int64)
+                    for g, a, c in zip(_strings(grams), n_model.tolist(), n.tolist(), strict=True):
+                        old = counts.get(g)
+                        if old is None:
+                            counts[g] = [a, c]
+                        else:
+                            old[0] += a
+                            old[1] += c
+            size += len(counts) - before
+            if size >= GRAMS_HELD:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def _discount(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): discounts for counts 1, 2 and 3 or more, from the counts of counts of a level."""
+    n = [F.greatest(F.sum((F.col("c") == k).cast("long")), F.lit(1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    between = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    return level.where("c > 0").groupBy("lang").agg(*n).select(
+        F.col("lang"),
+        between(1 - 2 * y * F.col("n2") / F.col("n1"), 0.05, 0.95).alias("d1"),
+        between(2 - 3 * y * F.col("n3") / F.col("n2"), 0.1, 1.9).alias("d2"),
+        between(3 - 4 * y * F.col("n4") / F.col("n3"), 0.15, 2.85).alias("d3"),
+    )
+
+
+def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n, bits): the bits of the last character of each gram after those before it.
+
+    grams: (lang, gram, n_model, n), distinct by lang and gram; n_model are the counts of the model, which may be 0.
+    Interpolated modified Kneser-Ney: the longest grams have these counts, each shorter one the number of
+    different characters before it in the model. A gram's probability is its discounted share of its context plus
+    what the context's discounts have freed times the probability of the gram without its first character; at the
+    end stands an equal share for each character known and one for all unknown. Each level is an aggregation and
+    two joins sharded by language and gram, over distinct grams, whatever the length of the corpus.
     """
-    levels = [(code.astype(np.int64), count.astype(np.float64))]
-    for k in range(ORDER - 1, 0, -1):
-        lower, n = np.unique(levels[0][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-        levels.insert(0, (lower, n.astype(np.float64)))
-    below = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-    for k, (gram, n) in enumerate(levels, 1):
-        d = _discounts(n)[np.minimum(n, 3).astype(int)]
-        context = gram >> BITS
-        if k < ORDER:
-            rows, row = np.arange(1 << (BITS * (k - 1))), context
-        else:
-            rows, row = np.unique(context, return_inverse=True)
-        total, freed = np.zeros(len(rows)), np.zeros(len(rows))
-        np.add.at(total, row, n)
-        np.add.at(freed, row, d)
-        share = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        p = share[:, None] * below[rows & ((1 << (BITS * max(k - 2, 0))) - 1)]
-        p[row, gram & (SYMBOLS - 1)] += (n - d) / total[row]
-        if k == ORDER:
-            at = np.arange(1 << (BITS * (ORDER - 1))) & ((1 << (BITS * (ORDER - 2))) - 1)
-            at[rows] = len(below) + np.arange(len(rows))
-            return at.astype(np.int32), np.log2(np.concatenate([below, p])).astype(np.float32)
-        below = p
-    raise AssertionError
-
-
-def _fit(lang: tuple, counts: pd.DataFrame) -> pd.DataFrame:
-    order = np.argsort(counts["gram"].to_numpy())
-    at, rows = kneser_ney(counts["gram"].to_numpy()[order], counts["n"].to_numpy()[order])
-    return pd.DataFrame({"lang": [lang[0]], "at": [at.tobytes()], "rows": [rows.tobytes()], "size": [at.nbytes + rows.nbytes]})
-
-
-def bits_per_char(texts: list[str], at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Mean bits a character of each text; NaN for an empty one."""
-    total, n = np.zeros(len(texts)), np.zeros(len(texts))
-    for who, code, part, count in _own(texts):
-        bits = -rows[at[code >> BITS], code & (SYMBOLS - 1)].astype(np.float64)
-        total += np.bincount(np.array(who), np.bincount(part, bits, len(who)), len(texts))
-        n += np.bincount(np.array(who), count, len(texts))
-    return np.where(n > 0, total / np.maximum(n, 1), np.nan)
-
-
-def _scorer(models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    levels = [grams.select("lang", "gram", F.col("n_model").cast("double").alias("c"))]
+    for _ in range(order - 1):
+        levels.insert(0, levels[0].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum((F.col("c") > 0).cast("double")).alias("c")))
+    below = levels[0].groupBy("lang").agg((1.0 / (F.sum((F.col("c") > 0).cast("long")) + 1)).alias("p"))
+    for k, level in enumerate(levels, 1):
+        d = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") >= 2, F.col("d2")).when(F.col("c") >= 1, F.col("d1")).otherwise(0.0)
+        cut = level.join(_discount(level), "lang", "left").withColumn("d", d).withColumn("context", F.substring("gram", 1, k - 1))
+        contexts = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
+        lower = below.select("lang", "p") if k == 1 else below.select("lang", F.col("gram").alias("shorter"), "p")
+        joined = cut.join(contexts, ["lang", "context"]).withColumn("shorter", F.substring("gram", 2, k)).join(lower, ["lang"] if k == 1 else ["lang", "shorter"])
+        own = (F.col("c") - F.col("d")) / F.col("total") + F.col("freed") / F.col("total") * F.col("p")
+        below = joined.select("lang", "gram", F.when(F.col("total") > 0, own).otherwise(F.col("p")).alias("p"))
+    return grams.select("lang", "gram", "n").join(below.select("lang", "gram", (-F.log2("p")).alias("bits")), ["lang", "gram"])
+
+
+def _scorer(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to each row its characters, the bits of its common grams, and the other grams with their counts."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: (np.frombuffer(a, np.int32), np.frombuffer(r, np.float32).reshape(-1, SYMBOLS)) for k, (a, r) in models.value.items()}
+        keys, bits = common.value
         for b in batches:
-            langs, texts = b["lang"].to_pylist(), b["text"].to_pylist()
-            bits = np.full(len(texts), np.nan)
-            for lang in dict.fromkeys(langs):
-                own = [i for i, x in enumerate(langs) if x == lang]
-                bits[own] = bits_per_char([texts[i] for i in own], *tables[lang])
-            length = np.array([len(t) for t in texts], np.int64)
-            more = [c for c in b.schema.names if c == "text_hash"]
+            texts = b["text"].to_pylist()
+            size = np.array([len(t) for t in texts], np.int64)
+            total = np.zeros(len(texts))
+            rare: list[list[str]] = [[] for _ in texts]
+            times: list[list[int]] = [[] for _ in texts]
+            for lang, rows in _by_lang(b["lang"].to_pylist(), texts):
+                place = np.array(rows)
+                for points, owner in text_runs([texts[i] for i in rows]):
+                    for grams, which, own in run_grams(points, owner):
+                        key = gram_keys(grams, lang)
+                        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                        known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                        if known.any():
+                            cost = np.where(known, bits[at], 0.0)
+                            total += np.bincount(place[own], cost[which], len(texts))
+                        missing = ~known[which]
+                        if missing.any():
+                            pair, n = np.unique(own[missing] * len(grams) + which[missing], return_counts=True)
+                            names = dict(zip(np.flatnonzero(~known).tolist(), _strings(grams[~known]), strict=True))
+                            for doc, gram, c in zip((pair // len(grams)).tolist(), (pair % len(grams)).tolist(), n.tolist(), strict=True):
+                                rare[rows[doc]].append(names[gram])
+                                times[rows[doc]].append(c)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32())
+            names = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["lang"], pa.array(length), pa.array(bits, mask=np.isnan(bits)), b["trusted"], b["held_out"], *[b[c] for c in more]],
-                ["doc_id", "lang", "length", "bits", "trusted", "held_out", *more],
+                [
+                    *[b[c] for c in names],
+                    pa.array(size),
+                    pa.array(total),
+                    pa.ListArray.from_arrays(offsets, _utf8([g for x in rare for g in x])),
+                    pa.ListArray.from_arrays(offsets, pa.array([c for x in times for c in x], pa.int32())),
+                ],
+                [*names, "length", "common_bits", "rare", "times"],
             )
 
     return score
 
 
+def _common(spark, scores: DataFrame):
+    """The COMMON most frequent grams' sorted keys with their bits, as a broadcast of bounded size."""
+    top = scores.orderBy(F.desc("n"), "lang", "gram").limit(COMMON).select("lang", "gram", "bits").toArrow()
+    langs, bits = np.array(top["lang"].to_pylist(), object), top["bits"].to_numpy()
+    points = _points("".join(top["gram"].to_pylist())).reshape(-1, ORDER)
+    key = np.zeros(len(langs), np.uint64)
+    for lang in dict.fromkeys(langs.tolist()):
+        own = langs == lang
+        key[own] = gram_keys(points[own], lang)
+    order = np.argsort(key)
+    return spark.sparkContext.broadcast((key[order], bits[order]))
+
+
 def quality_scores(
     docs: DataFrame,
     trusted: DataFrame,
@@ -239,80 +260,82 @@ def quality_scores(
     lang_col: str = "lang",
     quantile: float = QUANTILE,
     slack: float = SLACK,
-    shard_bytes: int = SHARD_BYTES,
     hashed: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, lang, perplexity (a character), threshold, kept, and text_hash if hashed.
 
-    trusted holds the ids (column id_col) of trusted documents. All of their text trains one model of
-    four-symbol grams for each language (one fifth by id hash is held out to set the thresholds), so that
-    what is counted grows with the corpus; each partition sums its counts before the shuffle. The model of
-    a language is one group of at most 64**4 counts. Documents are scored where they are read, in passes
-    over shards of languages whose models together fit `shard_bytes` (one language at least, itself of
-    bounded size), so that no text is shuffled and no model outgrows a worker.
+    trusted holds the ids (column id_col) of trusted documents. All of their text trains one model of grams of
+    five characters for each language (one fifth by id hash is held out to set the thresholds). Characters are code
+    points as they are, of any script, and all counts are kept, so that the model grows with the corpus. One pass
+    over the texts counts grams, merged in each task before the shuffle; joins sharded by gram give every distinct
+    gram its probability (see gram_bits); a second pass adds up the bits of each document. The most frequent grams, a
+    table of fixed size, are looked up where the text is read; a document's other grams are joined, sharded by
+    gram, and summed. No text is shuffled, and the number of languages adds no pass.
 
     The threshold is the `quantile` of held-out trusted documents of the same language and class of
     length (a power of two; the language's own, where a class has few), times slack. A document is kept
     if its bits a character do not exceed it. Empty and null texts have no perplexity and are not kept.
-    A language without trusted text has no threshold and all its documents with text are kept; a null
-    language is one of its own. Repeated rows each get a row; other columns are ignored; empty tables
-    give an empty table. text_hash is xxhash64 of the text (null as empty), to tell rows of one id apart.
+    A language without trusted text has no model and no threshold, and all its documents with text are kept, without
+    a perplexity; a null language is one of its own. Repeated rows each get a row; other columns are ignored; empty
+    tables give an empty table. text_hash is xxhash64 of the text (null as empty), to tell rows of one id apart.
     """
     spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_trusted", F.lit(True))
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     more = ["text_hash"] if hashed else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = (
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"),
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-            *[F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(c) for c in more],
+            text.alias("text"),
+            *[F.xxhash64(text).alias(c) for c in more],
         )
         .join(ids, "doc_id", "left")
         .withColumn("trusted", F.coalesce("is_trusted", F.lit(False)))
-        .withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
-    )
-    counts = (
-        rows.where("trusted and not coalesce(held_out, false)")
-        .select("lang", "text")
-        .mapInArrow(_counter, "lang string, gram int, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+        .withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
     )
-    models = stored(counts.groupBy("lang").applyInPandas(_fit, "lang string, at binary, rows binary, size long"), "models")
-    shards: list[list[str]] = []
-    room = 0
-    for lang, size in sorted(map(tuple, models.select("lang", "size").collect())):
-        if size > room or not shards:
-            shards.append([])
-            room = shard_bytes
-        shards[-1].append(lang)
-        room -= size
-    columns = ["doc_id", "lang", "text", "trusted", "held_out", *more]
-    out = "doc_id long, lang string, length long, bits double, trusted boolean, held_out boolean" + "".join(f", {c} long" for c in more)
-    known = [x for s in shards for x in s]
-    scored = rows.where(~F.col("lang").isin(known)).select(
-        "doc_id", "lang", F.length("text").cast("long").alias("length"), F.lit(None).cast("double").alias("bits"), "trusted", "held_out", *more
+    counted = rows.select("lang", "text", (F.col("trusted") & ~F.col("held_out")).alias("learn")).mapInArrow(_counter, "lang string, gram string, n_model long, n long")
+    grams = stored(counted.groupBy("lang", "gram").agg(F.sum("n_model").alias("n_model"), F.sum("n").alias("n")), "grams")
+    learned = grams.groupBy("lang").agg(F.max(F.col("n_model") > 0).alias("learned"))
+    scores = stored(gram_bits(grams), "gram-bits")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = ["doc_id", "lang", "trusted", "held_out", *more]
+    out = ", ".join(f"{c} {kinds[c]}" for c in names) + ", length long, common_bits double, rare array<string>, times array<int>"
+    partly = rows.select("text", *names).mapInArrow(_scorer(_common(spark, scores)), out)
+    partly = stored(partly.withColumn("row", F.monotonically_increasing_id()), "partly-scored")
+    rare = partly.where("size(rare) > 0").select("row", "lang", F.explode(F.arrays_zip("rare", "times")).alias("g"))
+    tail = (
+        rare.select("row", "lang", F.col("g.rare").alias("gram"), F.col("g.times").alias("times"))
+        .join(scores.select("lang", "gram", "bits"), ["lang", "gram"])
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.col("bits")).alias("rare_bits"))
     )
-    for shard in shards:
-        held = {r["lang"]: (bytes(r["at"]), bytes(r["rows"])) for r in models.where(F.col("lang").isin(shard)).collect()}
-        some = rows.where(F.col("lang").isin(shard)).select(*columns)
-        scored = scored.union(some.mapInArrow(_scorer(spark.sparkContext.broadcast(held)), out))
-    scored = stored(scored.withColumn("class", F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double"))).cast("int")), "scores")
-    sample = scored.where("trusted and held_out and bits is not null")
-    middle = F.percentile_approx("bits", quantile, 10_000)
-    by_lang = sample.groupBy("lang").agg(middle.alias("of_lang"))
-    by_class = sample.groupBy("lang", "class").agg(middle.alias("of_class"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLASS_LEAST)
-    # at most one row for each language and for each of its 32 classes of length
-    limits = scored.join(by_lang, "lang", "left").join(by_class, ["lang", "class"], "left")
-    threshold = F.coalesce("of_class", "of_lang") * slack
-    kept = F.when(F.col("length") == 0, False).when(F.col("bits").isNull() | threshold.isNull(), True).otherwise(F.col("bits") <= threshold)
+    bits = (F.col("common_bits") + F.coalesce("rare_bits", F.lit(0.0))) / F.col("length")
+    scored = stored(
+        partly.drop("rare", "times").join(tail, "row", "left").join(learned, "lang", "left")
+        .withColumn("bits", F.when(F.col("learned") & (F.col("length") > 0), bits))
+        .withColumn("class", F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double"))).cast("int"))
+        .select("lang", "class", "doc_id", "length", "bits", "trusted", "held_out", *more),
+        "scores",
+    )
+    limits = scored.join(_thresholds(scored, quantile, slack), ["lang", "class"], "left")
+    kept = F.when(F.col("length") == 0, False).when(F.col("bits").isNull() | F.col("limit").isNull(), True).otherwise(F.col("bits") <= F.col("limit"))
     return limits.select(
         "doc_id",
         F.nullif("lang", F.lit(UNKNOWN_LANG)).alias("lang"),
         F.pow(F.lit(2.0), "bits").alias("perplexity"),
-        F.pow(F.lit(2.0), threshold).alias("threshold"),
+        F.pow(F.lit(2.0), "limit").alias("threshold"),
         kept.alias("kept"),
         *more,
     )
+
+
+def _thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(lang, class, limit) for each language and class of length that occur; at most 32 classes of a language."""
+    sample = scored.where("trusted and held_out and bits is not null")
+    middle: Column = F.percentile_approx("bits", quantile, 10_000)
+    by_lang = sample.groupBy("lang").agg(middle.alias("of_lang"))
+    by_class = sample.groupBy("lang", "class").agg(middle.alias("of_class"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS_LEAST)
+    every = scored.select("lang", "class").distinct().join(by_lang, "lang").join(by_class, ["lang", "class"], "left")
+    return every.select("lang", "class", (F.coalesce("of_class", "of_lang") * slack).alias("limit"))

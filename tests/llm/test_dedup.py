@@ -187,7 +187,7 @@ def test_index_compares_bytes_where_hashes_collide(spark):
     from pyspark.sql import functions as F
 
     texts = ["a", "b", "a", "c", "d", "a", "b", "e"]
-    rows = spark.createDataFrame([(i, 7 if t in "abc" else i, t.encode(), t, 1) for i, t in enumerate(texts)], "doc_id long, h long, sha binary, text string, rows long")
+    rows = spark.createDataFrame([(i, 7 if t in "abc" else 100 + i, t.encode(), t, 1) for i, t in enumerate(texts)], "doc_id long, h long, sha binary, text string, rows long")
     entries = rows.groupBy("h", "sha").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("rows"))
     index, _ = build_index(rows, entries, capacity=1, max_depth=4)
     found = {r["sha"].decode(): (r["keep_id"], r["group_size"], r["chain"]) for r in index.collect()}
