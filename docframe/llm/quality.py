@@ -14,13 +14,13 @@ from docframe.llm.storage import stored
 #: Characters of a gram.
 ORDER = 5
 #: Trusted documents to keep below the threshold, for each language and class of length.
-QUANTILE = 0.995
+QUANTILE = 0.99
 #: Above that quantile, as a factor on the bits a character.
 SLACK = 1.0
 #: Held-out trusted documents that a class of length needs for a threshold of its own.
 CLASS_LEAST = 50
 #: Most frequent grams whose probabilities are broadcast; rarer ones are joined, by shards of the gram.
-COMMON = 1 << 19
+COMMON = 1 << 18
 #: Trusted ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Characters whose grams are counted at once.
@@ -63,9 +63,10 @@ def text_runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(points), np.concatenate(owner)
 
 
-def run_grams(points: np.ndarray, owner: np.ndarray, symbols: int = SYMBOLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(grams, which, owner): distinct grams as rows of ORDER code points; for each gram that ends at an owned
-    place its row and owner. A run with more distinct characters than `symbols` is halved."""
+def run_codes(points: np.ndarray, owner: np.ndarray, symbols: int = SYMBOLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, owner, alphabet): a number for each gram that ends at an owned place, its owner, and the characters.
+
+    A run with more distinct characters than `symbols` (2 * ORDER at least) is halved, so that a code has 64 bits at most."""
     known = np.zeros(0x110000, bool)
     known[points] = True
     alphabet = np.flatnonzero(known)
@@ -74,22 +75,30 @@ def run_grams(points: np.ndarray, owner: np.ndarray, symbols: int = SYMBOLS) ->
         start = max(0, half - ORDER + 1)
         rest = owner[start:].copy()
         rest[: half - start] = -1
-        yield from run_grams(points[:half], owner[:half], symbols)
-        yield from run_grams(points[start:], rest, symbols)
+        yield from run_codes(points[:half], owner[:half], symbols)
+        yield from run_codes(points[start:], rest, symbols)
         return
     number = np.zeros(0x110000, np.uint64)
     number[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
     s = number[points]
-    bits = max(1, (len(alphabet) - 1).bit_length())
+    bits = np.uint64(_bits(alphabet))
     code = np.zeros(max(0, len(s) - ORDER + 1), np.uint64)
     for k in range(ORDER):
-        code = (code << np.uint64(bits)) | s[k : len(s) - ORDER + 1 + k]
+        code = (code << bits) | s[k : len(s) - ORDER + 1 + k]
     own = owner[ORDER - 1 :]
     some = own >= 0
-    distinct, which = np.unique(code[some], return_inverse=True)
+    yield code[some], own[some], alphabet
+
+
+def _bits(alphabet: np.ndarray) -> int:
+    return max(1, (len(alphabet) - 1).bit_length())
+
+
+def code_points(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Grams as rows of ORDER code points."""
+    bits = _bits(alphabet)
     places = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
-    grams = alphabet[((distinct[:, None] >> places) & np.uint64((1 << bits) - 1)).astype(np.int64)]
-    yield grams.astype(np.uint32), which, own[some]
+    return alphabet[((codes[:, None] >> places) & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint32)
 
 
 def _strings(grams: np.ndarray) -> list[str]:
@@ -112,49 +121,69 @@ def gram_keys(grams: np.ndarray, lang: str) -> np.ndarray:
     return key
 
 
-def _by_lang(langs: list[str], texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+def _by_lang(langs: list[str]) -> Iterator[tuple[str, list[int]]]:
     own: dict[str, list[int]] = {}
     for i, lang in enumerate(langs):
         own.setdefault(lang, []).append(i)
     yield from own.items()
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n_model, n): counts of each gram in the model's documents and in all, by parts of a partition."""
-    held: dict[str, dict[str, list[int]]] = {}
-    size = 0
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their counts; codes are sorted in place."""
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.concatenate([first, [len(codes)]]))
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            n = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), _utf8(list(counts)), pa.array(n[:, 0]), pa.array(n[:, 1])],
-                ["lang", "gram", "n_model", "n"],
-            )
-        held.clear()
 
+class _Counts:
+    """Counts of a language's grams: keys, code points, counts in the model's texts and in all."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray, alphabet: np.ndarray, learn: bool, lang: str) -> None:
+        distinct, n = _counted(codes)
+        points = code_points(distinct, alphabet)
+        self.parts.append((gram_keys(points, lang), points, n * learn, n))
+        self.size += len(n)
+
+    def merge(self) -> None:
+        key, points, n_model, n = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
+        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+        sums = [np.bincount(which, x, len(distinct)).astype(np.int64) for x in (n_model, n)]
+        self.parts = [(distinct, points[first], *sums)]
+        self.size = len(distinct)
+
+    def batch(self, lang: str) -> pa.RecordBatch:
+        self.merge()
+        _, points, n_model, n = self.parts[0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), _utf8(_strings(points)), pa.array(n_model), pa.array(n)], ["lang", "gram", "n_model", "n"]
+        )
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n_model, n): counts of each gram in the model's documents and in all, by parts of a partition."""
+    held: dict[str, _Counts] = {}
     for b in batches:
-        texts, learn = b["text"].to_pylist(), np.array(b["learn"].to_pylist(), bool)
-        for lang, rows in _by_lang(b["lang"].to_pylist(), texts):
-            mine = learn[rows]
-            counts = held.setdefault(lang, {})
-            before = len(counts)
-            for points, owner in text_runs([texts[i] for i in rows]):
-                for grams, which, own in run_grams(points, owner):
-                    n = np.bincount(which, minlength=len(grams))
-                    n_model = np.bincount(which, mine[own], len(grams)).astype(np.int64)
-                    for g, a, c in zip(_strings(grams), n_model.tolist(), n.tolist(), strict=True):
-                        old = counts.get(g)
-                        if old is None:
-                            counts[g] = [a, c]
-                        else:
-                            old[0] += a
-                            old[1] += c
-            size += len(counts) - before
-            if size >= GRAMS_HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
+        texts, learn = b["text"].to_pylist(), b["learn"].to_pylist()
+        for lang, rows in _by_lang(b["lang"].to_pylist()):
+            counts = held.setdefault(lang, _Counts())
+            for mine in (True, False):
+                for points, owner in text_runs([texts[i] for i in rows if learn[i] is mine]):
+                    for codes, _, alphabet in run_codes(points, owner):
+                        counts.add(codes, alphabet, mine, lang)
+                if counts.size >= GRAMS_HELD:
+                    counts.merge()
+        if sum(c.size for c in held.values()) >= GRAMS_HELD:
+            for c in held.values():
+                if c.parts:
+                    c.merge()
+            if sum(c.size for c in held.values()) >= GRAMS_HELD // 2:
+                yield from (c.batch(lang) for lang, c in held.items() if c.parts)
+                held.clear()
+    yield from (c.batch(lang) for lang, c in held.items() if c.parts)
 
 
 def _discount(level: DataFrame) -> DataFrame:
@@ -171,9 +200,9 @@ def _discount(level: DataFrame) -> DataFrame:
 
 
 def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n, bits): the bits of the last character of each gram after those before it.
+    """(lang, gram, bits): the bits of the last character of each gram after those before it.
 
-    grams: (lang, gram, n_model, n), distinct by lang and gram; n_model are the counts of the model, which may be 0.
+    grams: (lang, gram, n_model), distinct by lang and gram; n_model are the counts of the model, which may be 0.
     Interpolated modified Kneser-Ney: the longest grams have these counts, each shorter one the number of
     different characters before it in the model. A gram's probability is its discounted share of its context plus
     what the context's discounts have freed times the probability of the gram without its first character; at the
@@ -181,8 +210,9 @@ def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
     two joins sharded by language and gram, over distinct grams, whatever the length of the corpus.
     """
     levels = [grams.select("lang", "gram", F.col("n_model").cast("double").alias("c"))]
-    for _ in range(order - 1):
-        levels.insert(0, levels[0].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum((F.col("c") > 0).cast("double")).alias("c")))
+    for k in range(order - 1, 0, -1):
+        shorter = levels[0].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum((F.col("c") > 0).cast("double")).alias("c"))
+        levels.insert(0, stored(shorter, f"grams{k}"))
     below = levels[0].groupBy("lang").agg((1.0 / (F.sum((F.col("c") > 0).cast("long")) + 1)).alias("p"))
     for k, level in enumerate(levels, 1):
         d = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") >= 2, F.col("d2")).when(F.col("c") >= 1, F.col("d1")).otherwise(0.0)
@@ -191,8 +221,10 @@ def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
         lower = below.select("lang", "p") if k == 1 else below.select("lang", F.col("gram").alias("shorter"), "p")
         joined = cut.join(contexts, ["lang", "context"]).withColumn("shorter", F.substring("gram", 2, k)).join(lower, ["lang"] if k == 1 else ["lang", "shorter"])
         own = (F.col("c") - F.col("d")) / F.col("total") + F.col("freed") / F.col("total") * F.col("p")
-        below = joined.select("lang", "gram", F.when(F.col("total") > 0, own).otherwise(F.col("p")).alias("p"))
-    return grams.select("lang", "gram", "n").join(below.select("lang", "gram", (-F.log2("p")).alias("bits")), ["lang", "gram"])
+        p = F.when(F.col("total") > 0, own).otherwise(F.col("p"))
+        below = joined.select("lang", "gram", p.alias("p"))
+        below = stored(below, f"probabilities{k}") if k < order else below
+    return below.select("lang", "gram", (-F.log2("p")).alias("bits"))
 
 
 def _scorer(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -206,10 +238,12 @@ def _scorer(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             total = np.zeros(len(texts))
             rare: list[list[str]] = [[] for _ in texts]
             times: list[list[int]] = [[] for _ in texts]
-            for lang, rows in _by_lang(b["lang"].to_pylist(), texts):
+            for lang, rows in _by_lang(b["lang"].to_pylist()):
                 place = np.array(rows)
                 for points, owner in text_runs([texts[i] for i in rows]):
-                    for grams, which, own in run_grams(points, owner):
+                    for codes, own, alphabet in run_codes(points, owner):
+                        distinct, which = np.unique(codes, return_inverse=True)
+                        grams = code_points(distinct, alphabet)
                         key = gram_keys(grams, lang)
                         at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                         known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
@@ -239,17 +273,32 @@ def _scorer(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return score
 
 
-def _common(spark, scores: DataFrame):
-    """The COMMON most frequent grams' sorted keys with their bits, as a broadcast of bounded size."""
-    top = scores.orderBy(F.desc("n"), "lang", "gram").limit(COMMON).select("lang", "gram", "bits").toArrow()
-    langs, bits = np.array(top["lang"].to_pylist(), object), top["bits"].to_numpy()
-    points = _points("".join(top["gram"].to_pylist())).reshape(-1, ORDER)
-    key = np.zeros(len(langs), np.uint64)
-    for lang in dict.fromkeys(langs.tolist()):
-        own = langs == lang
-        key[own] = gram_keys(points[own], lang)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        grams = _points("".join(b["gram"].to_pylist())).reshape(-1, ORDER)
+        key = np.zeros(len(grams), np.uint64)
+        for lang, rows in _by_lang(b["lang"].to_pylist()):
+            key[rows] = gram_keys(grams[rows], lang)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["bits"]], ["key", "bits"])
+
+
+def _common(grams: DataFrame, scores: DataFrame, most: int = COMMON):
+    """The most frequent grams' sorted keys with their bits, `most` at most, as a broadcast of bounded size.
+
+    Frequencies are told apart by sixteenths of a power of two; grams as frequent as the first left out are left out.
+    """
+    rank = F.floor(F.log2("n") * 16).cast("int")
+    least, held = None, 0
+    for r in grams.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():
+        held += r["count"]
+        if held > most:
+            break
+        least = r["rank"]
+    some = grams.where(rank >= least) if least is not None else grams.limit(0)
+    top = some.select("lang", "gram").join(scores, ["lang", "gram"]).mapInArrow(_keyed, "key long, bits double").toArrow()
+    key, bits = top["key"].to_numpy().view(np.uint64), top["bits"].to_numpy()
     order = np.argsort(key)
-    return spark.sparkContext.broadcast((key[order], bits[order]))
+    return grams.sparkSession.sparkContext.broadcast((key[order], bits[order]))
 
 
 def quality_scores(
@@ -279,7 +328,6 @@ def quality_scores(
     a perplexity; a null language is one of its own. Repeated rows each get a row; other columns are ignored; empty
     tables give an empty table. text_hash is xxhash64 of the text (null as empty), to tell rows of one id apart.
     """
-    spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_trusted", F.lit(True))
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     more = ["text_hash"] if hashed else []
@@ -302,7 +350,7 @@ def quality_scores(
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = ["doc_id", "lang", "trusted", "held_out", *more]
     out = ", ".join(f"{c} {kinds[c]}" for c in names) + ", length long, common_bits double, rare array<string>, times array<int>"
-    partly = rows.select("text", *names).mapInArrow(_scorer(_common(spark, scores)), out)
+    partly = rows.select("text", *names).mapInArrow(_scorer(_common(grams, scores)), out)
     partly = stored(partly.withColumn("row", F.monotonically_increasing_id()), "partly-scored")
     rare = partly.where("size(rare) > 0").select("row", "lang", F.explode(F.arrays_zip("rare", "times")).alias("g"))
     tail = (
