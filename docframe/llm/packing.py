@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -21,8 +22,13 @@ from docframe.llm.storage import stored
 
 SEQUENCE = 2048
 END_ID = 0
-#: Rounds of multiplicative weights, at most; each prices one configuration.
-ROUNDS = 240
+#: Share by which the linear program's solution may exceed its lower bound.
+GAP = 0.01
+#: Rounds of multiplicative weights that may pass without progress.
+PATIENCE = 80
+#: Configurations that are drawn from one solution, and sequences that are left to best fit.
+DRAWS = 4096
+LAST_BINS = 24
 #: Parts in which the pieces of one length are numbered.
 SALTS = 64
 #: Runs of text and words that a worker keeps with their ids, in each of two generations.
@@ -34,8 +40,23 @@ CHARS_AT_ONCE = 1 << 22
 
 #: Code points of the texts that the fast path takes; others go to the tokenizer whole.
 LATIN_END = 0x250
-#: Fixed value: the strings that the vocabulary declares special.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: The rules of a vocabulary's file that the fast path follows.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _latin(category: str) -> str:
@@ -45,7 +66,8 @@ def _latin(category: str) -> str:
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to Tokenizer.encode(add_special_tokens=False).
 
-    The vocabulary's rules lower-case each text and never join two sides of white space, so that a text's
+    Where the file states the rules NORMALIZER and PRE_TOKENIZER there is a fast path; with any other file every
+    text is encoded by the tokenizer itself. These rules lower-case each text and never join two sides of white space, so that a text's
     ids are those of its white-space runs one after the other, and each distinct run is encoded once and
     kept. This holds for Latin letters (below U+0250, where NFC changes nothing); a text with any other
     character, or with a special token's string, is encoded by the tokenizer itself.
@@ -56,10 +78,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.known = (rules["normalizer"], rules["pre_tokenizer"], rules["post_processor"], rules["model"].get("dropout")) == (NORMALIZER, PRE_TOKENIZER, None, None)
+        self.special = tuple(t["content"] for t in rules["added_tokens"])
         letters, numbers = _latin("L"), _latin("N")
         #: Fixed value: the vocabulary's own split pattern, for Latin text.
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
-        self.other = re.compile(f"[^\\t-\\r\\x20-\\x7e\\xa1-{chr(LATIN_END - 1)}]|" + "|".join(map(re.escape, SPECIAL)))
+        self.other = re.compile(f"[^\\t-\\r\\x20-\\x7e\\xa1-{chr(LATIN_END - 1)}]")
         self.space = re.compile("[\t-\r ]")
         self.plain = bytes([*range(9, 14), *range(0x20, 0x7F), *range(0xA1, 0x100)])
         # byte-level letters: printable bytes stand for themselves, others follow from U+0100
@@ -103,7 +128,7 @@ class WordEncoder:
         return self._run(run) if found is None else found
 
     def _is_latin(self, text: str) -> bool:
-        if SPECIAL[0][:2] in text and any(x in text for x in SPECIAL):
+        if not self.known or any(x in text for x in self.special):
             return False
         try:
             return not text.encode("latin-1").translate(None, self.plain)
@@ -202,109 +227,192 @@ class Configuration:
     bins: int
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Pricing: how many pieces of each length make the most valuable sequence, by knapsack.
+class Fill:
+    """Configurations drawn in proportion to the product of their pieces' weights, and what they hold on average.
 
-    Dynamic programming over the fill. A length is used at most `most` times: what the unbounded optimum
-    takes beyond that is cut, and the remaining room is filled by the same table again.
+    The knapsack's dynamic program over the fill is taken with sums for maxima: z[f] adds up the weights of all
+    ways to fill f tokens. So one pass prices every configuration at once, softly, instead of the single best, and
+    its average touches all lengths. Unfilled room costs `rent` a token.
     """
-    taken = np.zeros(len(lengths), np.int64)
-    room = capacity
-    left = most.copy()
+
+    def __init__(self, lengths: np.ndarray, log_weights: np.ndarray, rent: float, capacity: int) -> None:
+        size = capacity + 1
+        # a factor for each token changes no proportion, but keeps the sums of weights near 1
+        low, high = -(log_weights / lengths).max() - np.log(len(lengths)) - 1.0, -(log_weights / lengths).max()
+        for _ in range(60):
+            middle = (low + high) / 2
+            over = np.exp(np.minimum(log_weights + middle * lengths, 50.0)).sum() > 1
+            low, high = (low, middle) if over else (middle, high)
+        self.weight = np.zeros(size)
+        self.weight[lengths] = np.exp(log_weights + low * lengths)
+        self.z, backward = np.zeros(size), np.zeros(size)
+        self.z[0] = backward[capacity] = 1.0
+        for f in range(1, size):
+            self.z[f] = backward[capacity - f] = self.weight[1 : f + 1] @ backward[size - f :]
+        # fills that next to no weight reaches end no configuration
+        self.z[self.z < 1e-200] = 0.0
+        with np.errstate(divide="ignore"):
+            end = np.log(self.z) + (capacity - np.arange(size)) * (low - rent)
+        self.end = np.exp(end - end.max())
+        self.end /= self.end.sum()
+        share = np.divide(self.end, self.z, out=np.zeros(size), where=self.z > 0)
+        # pieces of a length in a configuration on average: its weight times all ways to fill what is before and after it
+        around = np.correlate(share, np.convolve(self.z, self.z)[:size], "full")[capacity:]
+        self.held = self.weight[lengths] * around[lengths]
+        self.waste = float(self.end @ (capacity - np.arange(size)))
+
+    def draw(self, rng: np.random.Generator) -> list[int]:
+        """The lengths of one configuration."""
+        f = int(rng.choice(len(self.end), p=self.end))
+        out = []
+        while f:
+            ways = np.cumsum(self.weight[1 : f + 1] * self.z[f - 1 :: -1][:f])
+            out.append(min(f, 1 + int(np.searchsorted(ways, rng.random() * ways[-1], side="right"))))
+            f -= out[-1]
+        return out
+
+
+def best_value(lengths: np.ndarray, price: np.ndarray, capacity: int) -> float:
+    """The most that the pieces of one sequence can be worth: the knapsack's dynamic program over the fill."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for fill in range(1, capacity + 1):
+        k = upto[fill]
+        best[fill] = max(best[fill - 1], (best[fill - lengths[:k]] + price[:k]).max()) if k else best[fill - 1]
+    return float(best[capacity])
+
+
+@dataclass
+class Cover:
+    """A fractional solution: `bins` sequences dealt out as `fill` says hold each length as often as needed."""
+
+    fill: Fill
+    bins: float
+    #: No solution has fewer sequences: what all pieces are worth by the best sequence's worth.
+    bound: float
+    rounds: int
+
+
+def fractional_cover(lengths: np.ndarray, need: np.ndarray, capacity: int, gap: float = GAP, patience: int = PATIENCE) -> Cover:
+    """The linear program over configurations: as few sequences as cover all pieces of each length.
+
+    Multiplicative weights: a round prices all configurations by the weights (see Fill), takes their mixture as
+    often as the scarcest length needs, which covers every length, and multiplies each length's weight by its need
+    over its cover. While cover is even, the rent of unfilled room rises, so that the mixture turns to the fullest
+    configurations. Weights and rent are dual prices: the pieces' worth over the best value of a knapsack bounds the
+    program from below. Rounds end when cover and bound are within `gap`, or when `patience` rounds have not brought
+    them closer by a hundredth of their distance.
+    """
+    need = need.astype(float)
+    area = float(lengths @ need)
+    bound = area / capacity
+    log_weights, rent = np.log(need / need.sum()), 1.0 / capacity
+    best, bins, since, mark, r = None, np.inf, 0, np.inf, 0
+    while True:
+        fill = Fill(lengths, log_weights, rent, capacity)
+        ratio = need / np.maximum(fill.held, 1e-300)
+        if ratio.max() < bins:
+            best, bins = fill, float(ratio.max())
+        if r % 20 == 0:
+            price = np.maximum(log_weights + rent * lengths, 0.0)
+            if price.any():
+                bound = max(bound, float(need @ price) / best_value(lengths, price, capacity))
+        if bins - bound < 0.99 * mark:
+            mark, since = bins - bound, r
+        r += 1
+        if bins <= bound * (1 + gap) or r - since > patience:
+            return Cover(best, bins, bound, r)
+        now = area / (capacity - fill.waste)
+        log_weights = log_weights + np.log(np.clip(ratio / now, 1e-2, 1e2))
+        if ratio.max() < 1.1 * now:
+            rent *= 1.05
+
+
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Counts of one sequence: those of start, then again and again the longest piece left that fits."""
+    config = np.zeros(len(lengths), np.int64) if start is None else start.copy()
+    room = capacity - int(config @ lengths)
+    free = left - config
+    top = len(lengths)
     while room > 0:
-        usable = np.flatnonzero((left > 0) & (lengths <= room))
-        if not len(usable):
-            break
-        size, worth = lengths[usable], values[usable]
-        best, choice = np.zeros(room + 1), np.full(room + 1, -1)
-        upto = np.searchsorted(size, np.arange(room + 1), side="right")
-        for fill in range(1, room + 1):
-            k = upto[fill]
-            best[fill], choice[fill] = best[fill - 1], -1
-            if k:
-                got = best[fill - size[:k]] + worth[:k]
-                i = int(got.argmax())
-                if got[i] > best[fill]:
-                    best[fill], choice[fill] = got[i], i
-        fill, before = room, room
-        while fill > 0:
-            i = choice[fill]
-            if i < 0:
-                fill -= 1
-                continue
-            fill -= size[i]
-            if left[usable[i]] > 0:
-                left[usable[i]] -= 1
-                taken[usable[i]] += 1
-                room -= int(size[i])
-        if room == before:
+        top = min(top, int(np.searchsorted(lengths, room, side="right")))
+        fits = np.flatnonzero(free[:top])
+        if not len(fits):
             break
-    return taken
+        i = int(fits[-1])
+        k = min(int(free[i]), room // int(lengths[i]))
+        config[i] += k
+        free[i] -= k
+        room -= k * int(lengths[i])
+    return config
+
+
+def _pack_rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[Configuration]:
+    """Best fit, largest first, one configuration for as many sequences as it can fill."""
+    out, left = [], left.copy()
+    while left.any():
+        config = _best_fit(lengths, left, capacity)
+        used = np.flatnonzero(config)
+        n = int((left[used] // config[used]).min())
+        left -= n * config
+        out.append(Configuration(lengths[used], config[used], n))
+    return out
 
 
-def fractional_configurations(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations with fractional multiplicities that cover about all pieces.
+def _rounded(lengths: np.ndarray, need: np.ndarray, capacity: int, gap: float) -> Iterator[tuple[list[Configuration], np.ndarray]]:
+    """The linear program's solution rounded to whole sequences, step by step: (sequences so far, pieces left).
 
-    The linear program asks for as few sequences as cover every length. Multiplicative weights hold a
-    price for each length; a round prices the best configuration by knapsack, adds it, and lowers the
-    prices of the lengths in proportion to how much of their need it covers.
+    Configurations are drawn from the fractional solution, each for an equal part of half its sequences (of nine
+    tenths, where they are many), and taken as often as what is left of their lengths allows; room that is left in
+    them is filled up by best fit. Then the program is solved again for what remains, until few sequences do
+    (LAST_BINS, or a thousandth of all).
     """
-    weight = np.ones(len(lengths))
-    found: dict[bytes, list] = {}
-    covered = np.zeros(len(lengths))
-    bins = (lengths * need).sum() / capacity
-    step = bins / rounds
-    for _ in range(rounds):
-        price = weight * lengths
-        config = best_configuration(price / price.max(), lengths, need, capacity)
-        gain = config / need
-        amount = min(step, 1.0 / gain.max())
-        found.setdefault(config.tobytes(), [config, 0.0])[1] += amount
-        covered += amount * gain
-        weight = np.exp(-4.0 * (covered - covered.min()))
-        if covered.min() >= 1:
-            break
-    return [(c, x) for c, x in found.values()]
+    rng = np.random.default_rng(len(lengths))
+    left, out = need.copy(), []
+    yield [], left
+    last = max(LAST_BINS, float(lengths @ left) / capacity / 1000)
+    while (bins := float(lengths @ left) / capacity) > last:
+        own = np.flatnonzero(left)
+        cover = fractional_cover(lengths[own], left[own], capacity, gap)
+        quota = int(bins * (0.9 if bins > DRAWS else 0.5))
+        draws = min(DRAWS, quota)
+        drawn: dict[bytes, int] = {}
+        for _ in range(draws):
+            config = np.bincount(np.searchsorted(lengths, cover.fill.draw(rng)), minlength=len(lengths)).astype(np.int64)
+            drawn[config.tobytes()] = drawn.get(config.tobytes(), 0) + 1
+        for key, times in sorted(drawn.items(), key=lambda x: (-int(np.frombuffer(x[0], np.int64) @ lengths), x[0])):
+            config = np.frombuffer(key, np.int64)
+            n = times * (quota // draws)
+            if (left < n * config).any():
+                used = np.flatnonzero(config)
+                n = max(1, int((left[used] // config[used]).min()))
+            config = _best_fit(lengths, left // n, capacity, np.minimum(config, left // n))
+            used = np.flatnonzero(config)
+            if len(used):
+                left = left - n * config
+                out.append(Configuration(lengths[used], config[used], n))
+        yield list(out), left
 
 
-def configurations(histogram: dict[int, int], capacity: int = SEQUENCE, rounds: int = ROUNDS) -> list[Configuration]:
+def configurations(histogram: dict[int, int], capacity: int = SEQUENCE, gap: float = GAP) -> list[Configuration]:
     """Sequences for all pieces of a histogram (length: count).
 
-    Full pieces are sequences of their own. The fractional solution is rounded down to whole sequences
-    within what is left of each length; the rest is packed by best fit, largest first, one configuration
-    for as many sequences as it can fill.
+    Full pieces are sequences of their own. The linear program is solved and rounded in steps; after each step best
+    fit packs what is left, and the packing of fewest sequences is taken (of equals that with most from the program).
     """
     out = []
     if n := histogram.get(capacity):
         out.append(Configuration(np.array([capacity]), np.array([1]), n))
     lengths = np.array(sorted(k for k, n in histogram.items() if k < capacity and n), np.int64)
-    left = np.array([histogram[k] for k in lengths.tolist()], np.int64)
-    if len(lengths) and left.sum() > 4 * len(lengths):
-        for config, amount in sorted(fractional_configurations(lengths, left, capacity, rounds), key=lambda x: -int(x[0] @ lengths)):
-            used = np.flatnonzero(config)
-            n = min(int(amount), int((left[used] // config[used]).min()))
-            if n:
-                left -= n * config
-                out.append(Configuration(lengths[used], config[used], n))
-    while left.any():
-        room, config = capacity, np.zeros(len(lengths), np.int64)
-        free = left.copy()
-        top = len(lengths)
-        while room > 0:
-            top = min(top, int(np.searchsorted(lengths, room, side="right")))
-            fits = np.flatnonzero(free[:top])
-            if not len(fits):
-                break
-            i = int(fits[-1])
-            k = min(int(free[i]), room // int(lengths[i]))
-            config[i] += k
-            free[i] -= k
-            room -= k * int(lengths[i])
-        used = np.flatnonzero(config)
-        n = int((left[used] // config[used]).min())
-        left -= n * config
-        out.append(Configuration(lengths[used], config[used], n))
-    return out
+    need = np.array([histogram[k] for k in lengths.tolist()], np.int64)
+    if not len(lengths):
+        return out
+    best, least = [], np.inf
+    for configs, left in _rounded(lengths, need, capacity, gap):
+        configs = configs + _pack_rest(lengths, left, capacity)
+        if (bins := sum(c.bins for c in configs)) <= least:
+            best, least = configs, bins
+    return out + best
 
 
 def _slots(configs: list[Configuration]) -> dict[int, np.ndarray]:
@@ -339,11 +447,11 @@ def _placer(slots: dict[int, np.ndarray]) -> Callable[[pd.Series, pd.Series], pd
     return place
 
 
-def pack(pieces: DataFrame, sequence: int = SEQUENCE, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, sequence: int = SEQUENCE, gap: float = GAP) -> DataFrame:
     """pieces (with a column length) plus sequence_id and offset.
 
-    The driver holds the histogram (at most `sequence` lengths) and the configurations (at most one a
-    round and one for each exhausted length), whatever the number of pieces. Pieces of a length are
+    The driver holds the histogram (at most `sequence` lengths) and the configurations (at most DRAWS for each
+    tenth part and one for each exhausted length), whatever the number of pieces. Pieces of a length are
     numbered in salted parts, whose sizes are summed beforehand, so that a length that a third of all
     pieces share is numbered by many tasks. Which of several pieces of a length goes to which place does
     not matter. An empty table gives an empty table.
@@ -353,7 +461,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, rounds: int = ROUNDS) -> D
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("count")).collect()}
-    place = F.pandas_udf(_placer(_slots(configurations(histogram, sequence, rounds))), "sequence_id long, offset long")
+    place = F.pandas_udf(_placer(_slots(configurations(histogram, sequence, gap))), "sequence_id long, offset long")
     own = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     # at most `sequence` x SALTS rows
     numbered = salted.join(F.broadcast(starts), ["length", "__salt"]).withColumn(
@@ -370,7 +478,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     sequence: int = SEQUENCE,
-    rounds: int = ROUNDS,
+    gap: float = GAP,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -378,5 +486,5 @@ def pack_documents(
     and a rest. Every input row is packed, repeated rows and rows with a null id too; other columns are
     ignored. An empty table gives an empty table.
     """
-    found = pack(tokenized_pieces(docs, tokenizer_path, id_col, text_col, sequence), sequence, rounds)
+    found = pack(tokenized_pieces(docs, tokenizer_path, id_col, text_col, sequence), sequence, gap)
     return found.withColumn("piece", F.col("piece").cast("int"))

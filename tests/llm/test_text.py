@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from docframe.llm import packing, quality
 from docframe.llm.langid import fit_dictionaries, identify_language
-from docframe.llm.quality import bits_per_char, kneser_ney, quality_scores
+from docframe.llm.quality import quality_scores
 from docframe.llm.secrets import BASE, BlobLedger, Rule, find_secrets, scan_text, secret_digest
 from docframe.llm.toxicity import ToxicityModel, fit_toxicity, fold, hits, score_toxicity, toxicity
 
@@ -99,32 +99,75 @@ def test_caches_stay_bounded(monkeypatch):
     assert len(own.runs) <= 20 and len(own.words) <= 20
 
 
+def test_another_vocabulary_takes_the_slow_path():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.WordEncoder(other), Tokenizer.from_file(other)
+    texts = ["Plain Text, twice.  Twice", "don't", "", "é ü 中文"]
+    assert not own.known and packing.WordEncoder(PATH).known
+    assert own.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def held(configs, capacity):
+    out = Counter()
+    for c in configs:
+        assert c.lengths @ c.counts <= capacity and c.bins > 0
+        for n, k in zip(c.lengths.tolist(), c.counts.tolist(), strict=True):
+            out[n] += k * c.bins
+    return out
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_configurations_place_every_piece(seed):
     rng = random.Random(seed)
     histogram = Counter(min(100, max(1, int(rng.lognormvariate(3, 1)))) for _ in range(rng.choice([5, 300, 4000])))
-    found = packing.configurations(dict(histogram), 100, rounds=60)
-    held = Counter()
-    for c in found:
-        assert c.lengths @ c.counts <= 100 and c.bins > 0
-        for n, k in zip(c.lengths.tolist(), c.counts.tolist(), strict=True):
-            held[n] += k * c.bins
-    assert held == histogram
+    found = packing.configurations(dict(histogram), 100)
+    assert held(found, 100) == histogram
     bins, least = sum(c.bins for c in found), sum(k * n for k, n in histogram.items()) / 100
-    assert bins <= 1.03 * least + 2
+    assert bins <= 1.01 * least + 2
     assert packing.configurations({}) == []
 
 
-def test_pricing_is_the_best_knapsack():
-    rng = np.random.default_rng(1)
-    lengths, values = np.array([3, 5, 7, 11]), rng.random(4)
-    most = np.array([20, 20, 20, 20])
-    got = packing.best_configuration(values, lengths, most, 40)
+@pytest.mark.parametrize("histogram", [{51: 600, 27: 600, 26: 600, 23: 1200}, {60: 10}, {7: 1}, {99: 40, 1: 3}, {k: 1 + k % 7 for k in range(1, 100)}])
+def test_linear_program_covers_every_length(histogram):
+    lengths = np.array(sorted(histogram))
+    need = np.array([histogram[k] for k in lengths.tolist()])
+    cover = packing.fractional_cover(lengths, need, 100)
+    assert (cover.bins * cover.fill.held >= need * (1 - 1e-9)).all()
+    assert (lengths @ need) / 100 - 1e-9 <= cover.bound <= cover.bins
+    assert cover.bins <= 1.07 * cover.bound
+
+
+def test_linear_program_beats_best_fit():
+    # best fit, largest first, fills 600 + 200 + 300 sequences; 900 are full
+    histogram = {51: 600, 27: 600, 26: 600, 23: 1200}
+    found = packing.configurations(histogram, 100)
+    lengths = np.array(sorted(histogram))
+    plain = packing._pack_rest(lengths, np.array([histogram[k] for k in lengths.tolist()]), 100)
+    assert held(found, 100) == histogram and sum(c.bins for c in plain) == 1100
+    assert 900 <= sum(c.bins for c in found) <= 910
+
+
+def test_prices_of_fills_against_all_configurations():
+    lengths, log_weights, rent, capacity = np.array([3, 5, 7]), np.array([0.3, -0.2, 0.9]), 0.4, 20
+    total, held_sum = 0.0, np.zeros(3)
+    stack = [()]
+    while stack:
+        own = stack.pop()
+        size = int(sum(lengths[i] for i in own))
+        w = math.exp(sum(log_weights[i] for i in own) - rent * (capacity - size))
+        total += w
+        held_sum += w * np.bincount(np.array(own, int), minlength=3)
+        stack += [(*own, i) for i in range(3) if size + lengths[i] <= capacity]
+    assert np.allclose(packing.Fill(lengths, log_weights, rent, capacity).held, held_sum / total)
+
+
+def test_best_value_is_the_best_knapsack():
+    lengths, values = np.array([3, 5, 7, 11]), np.random.default_rng(1).random(4)
     best = max(
         a * values[0] + b * values[1] + c * values[2] + d * values[3]
         for a in range(14) for b in range(9) for c in range(6) for d in range(4) if 3 * a + 5 * b + 7 * c + 11 * d <= 40
     )
-    assert got @ lengths <= 40 and math.isclose(got @ values, best)
+    assert math.isclose(packing.best_value(lengths, values, 40), best)
 
 
 def test_pack_documents(spark):
@@ -148,24 +191,79 @@ def test_pack_documents(spark):
 # quality
 
 
-def test_kneser_ney_sums_to_one_and_prefers_seen_text():
-    texts = ["the cat sat on the mat. the dog sat on the log. "] * 3 + ["a different line, with 12 numbers!"]
-    code = np.concatenate([c for _, c, _, _ in quality._own(texts)])
-    code, n = np.unique(code, return_counts=True)
-    at, rows = kneser_ney(code, n)
-    assert np.allclose(np.exp2(rows.astype(float)).sum(1), 1, atol=1e-4) and at.max() < len(rows)
-    seen, unseen = bits_per_char(["the dog sat on the mat", "zqx kvj wpf"], at, rows)
-    assert seen < 2.5 < unseen
-    assert np.isnan(bits_per_char([""], at, rows)[0])
+def brute_kneser_ney(texts, order):
+    """p(text's grams) by the definition, in plain Python."""
+    grams = Counter(p[i : i + order] for t in texts for p in [" " * (order - 1) + t] for i in range(len(p) - order + 1))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    stats = {}
+    for k, level in levels.items():
+        n = {j: max(1, sum(c == j for c in level.values())) for j in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        limits = ((0.05, 0.95), (0.1, 1.9), (0.15, 2.85))
+        stats[k] = [0.0] + [min(max(j - (j + 1) * y * n[j + 1] / n[j], lo), hi) for j, (lo, hi) in enumerate(limits, 1)]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        total = sum(c for g, c in levels[k].items() if g[:-1] == gram[:-1])
+        if not total:
+            return p(gram[1:])
+        freed = sum(stats[k][min(c, 3)] for g, c in levels[k].items() if g[:-1] == gram[:-1])
+        c = levels[k].get(gram, 0)
+        return (c - stats[k][min(c, 3)]) / total + freed / total * p(gram[1:])
+
+    return lambda t: [p(g) for q in [" " * (order - 1) + t] for i in range(len(q) - order + 1) for g in [q[i : i + order]]]
+
+
+def test_perplexity_is_that_of_kneser_ney(spark, monkeypatch):
+    rng = random.Random(6)
+    alphabets = {"en": "ab c.", "ru": "абвг д", "zh": "的一是不了人"}
+    rows, langs = [], {}
+    for i in range(60):
+        lang = rng.choice(sorted(alphabets))
+        rows.append((i, "".join(rng.choices(alphabets[lang], k=rng.randrange(1, 60)))))
+        langs[i] = lang
+    rows += [(100, "zz qq"), (101, "ёж")]
+    langs |= {100: "en", 101: "ru"}
+    ids = [i for i in range(50)]
+    learned = [i for i in ids if zlib.crc32(str(i).encode()) % 5]
+    model = {lang: brute_kneser_ney([t for i, t in rows if i in learned and langs[i] == lang], quality.ORDER) for lang in alphabets}
+    want = {i: 2 ** -np.mean([math.log2(p) for p in model[langs[i]](t)]) for i, t in rows}
+    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for common, chars, symbols in ((1 << 18, 1 << 20, quality.SYMBOLS), (40, 50, 10), (0, 7, quality.SYMBOLS)):
+        monkeypatch.setattr(quality, "CHARS_AT_ONCE", chars)
+        common_of = quality._common
+        with monkeypatch.context() as m:
+            m.setattr(quality, "_common", lambda g, s, n=common: common_of(g, s, n))
+            found = {r["doc_id"]: r["perplexity"] for r in quality_scores(docs(spark, rows, langs), trusted).collect()}
+        assert found.keys() == want.keys() and all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in want)
+        points, owner = next(quality.text_runs(["abcdefghijkl" * 5]))
+        grams = Counter()
+        for codes, _, alphabet in quality.run_codes(points, owner, symbols):
+            grams.update(map(bytes, quality.code_points(codes, alphabet)))
+        text = "    " + "abcdefghijkl" * 5
+        first = "".join(map(chr, points))
+        assert sum(grams.values()) == len(first) - 4 and text.startswith(first)
 
 
 def test_long_texts_count_every_gram_once(monkeypatch):
     rng = random.Random(4)
-    texts = ["".join(rng.choices("abc d.", k=k)) for k in (0, 1, 3, 40, 41, 500, 1000)]
-    whole = np.concatenate([quality.grams(quality.joined_symbols([t])[0]) for t in texts])
+    texts = ["".join(rng.choices("abcdefghijklmn d.", k=k)) for k in (0, 1, 3, 40, 41, 500, 1000)]
+
+    def counted(symbols):
+        out = Counter()
+        for points, owner in quality.text_runs(texts):
+            for codes, own, alphabet in quality.run_codes(points, owner, symbols):
+                out.update(zip(own.tolist(), quality._strings(quality.code_points(codes, alphabet)), strict=True))
+        return out
+
+    want = Counter((i, p[k : k + 5]) for i, t in enumerate(texts) for p in ["    " + t] for k in range(len(t)))
+    assert counted(quality.SYMBOLS) == want
     monkeypatch.setattr(quality, "CHARS_AT_ONCE", 40)
-    parts = np.concatenate([c for _, c, _, _ in quality._own(texts)])
-    assert Counter(whole.tolist()) == Counter(parts.tolist())
+    assert counted(quality.SYMBOLS) == counted(10) == want
 
 
 def test_quality_scores(spark):
@@ -173,15 +271,14 @@ def test_quality_scores(spark):
     words = ["ser", "mar", "lon", "tir", "ved", "pol"]
     clean = lambda: " ".join("".join(rng.choices(words, k=2)) for _ in range(60)) + "."
     rows = [(i, clean()) for i in range(300)] + [(400 + i, re.sub("e", "%$", clean().upper())) for i in range(20)]
-    rows += [(500, None), (501, ""), (502, "x"), (None, clean()), (7, "dup")]
+    rows += [(500, None), (501, ""), (502, "x"), (None, clean()), (7, "dup"), (503, rows[1][1] * 2000)]
     langs = {502: "xx", 501: None, 500: None}
     trusted = spark.createDataFrame([(i, "x") for i in range(250)] + [(None, "y"), (3, "z")], "doc_id long, text string")
-    for shard in (1, 1 << 26):
-        found = quality_scores(docs(spark, rows, langs), trusted, shard_bytes=shard).toPandas()
-        assert len(found) == len(rows)
-        kept = found.drop_duplicates("doc_id").set_index("doc_id")["kept"]
-        assert kept[[i for i in range(300) if i != 7]].mean() > 0.97 and not kept[range(400, 420)].any()
-        assert not kept[500] and not kept[501] and kept[502]
+    found = quality_scores(docs(spark, rows, langs), trusted).toPandas()
+    assert len(found) == len(rows)
+    kept = found.drop_duplicates("doc_id").set_index("doc_id")["kept"]
+    assert kept[[i for i in range(300) if i != 7]].mean() > 0.97 and not kept[range(400, 420)].any()
+    assert not kept[500] and not kept[501] and kept[502] and kept[503]
     assert quality_scores(docs(spark, []), trusted).count() == 0
     assert quality_scores(docs(spark, rows), trusted.limit(0)).where("kept").count() == len(rows) - 2
 
