@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ COSINE = 0.95
 TREES = 5
 TREES_A_LEVEL = 3
 DEEP = 7
-LEAF = 256
+LEAF = 1024
 #: Half the width of the band about a split whose vectors go to both sides, in standard deviations.
 SPILL = 0.08
 #: Vectors that are read to place the splits of the upper levels, and vectors of the sample in a fitted node at least.
@@ -31,6 +32,16 @@ TIGHT_LEAST = 8
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 1024
 SEED = 20_240_607
+#: Largest component of a vector as it travels, in 16-bit steps, and steps of a direction: products of these are
+#: whole numbers below 2**53 (up to 2**18 components), so that a sum of them is the same in any order.
+STEPS = 32_767
+DIRECTION_STEPS = 1 << 20
+#: Vectors that a task routes at once.
+ROUTED_AT_ONCE = 4096
+#: What single precision may add to a cosine's error, for each component.
+SINGLE = 2.0**-22
+#: Keys of repeated vectors, or of overfull leaves, that are broadcast; more are joined.
+BROADCAST_KEYS = 1_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -40,9 +51,9 @@ def usable(vector: Column) -> Column:
 
 
 def direction(tree: int, level: int, dims: int) -> np.ndarray:
-    """The random direction along which all nodes of a level of a tree split."""
+    """The random direction along which all nodes of a level of a tree split, of length 1 and in whole steps."""
     v = np.random.default_rng([SEED, tree, level]).standard_normal(dims)
-    return v / np.linalg.norm(v)
+    return np.rint(v / np.linalg.norm(v) * DIRECTION_STEPS) / DIRECTION_STEPS
 
 
 def cut_point(p: np.ndarray, band: float) -> float:
@@ -100,8 +111,11 @@ class Forest:
             self.centre.append(centres)
             self.whole.append(whole)
 
-    def leaves(self, vectors: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf of the tree that a unit vector falls into; leaves are numbered in the tree."""
+    def leaves(self, vectors: np.ndarray, tree: int, norm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf of the tree that a vector falls into; leaves are numbered in the tree.
+
+        The vectors have length 1, or are whole numbers with the given norms; the leaves of a vector of whole
+        numbers are the same wherever they are computed."""
         rows, nodes = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
         last = np.zeros(len(vectors), np.int64)
         done_rows, done_nodes = [], []
@@ -113,7 +127,8 @@ class Forest:
                 done_nodes.append(nodes[ends])
                 rows, nodes, last = rows[~ends], nodes[~ends], last[~ends]
             along = direction(tree, level, self.dims)
-            p = (vectors @ along)[rows]
+            p = vectors @ (along * DIRECTION_STEPS) / DIRECTION_STEPS
+            p = (p if norm is None else p / norm)[rows]
             cut, width = np.empty(len(rows)), np.empty(len(rows))
             order = np.argsort(nodes, kind="stable")
             new_last = last.copy()
@@ -135,72 +150,176 @@ class Forest:
         return np.concatenate([*done_rows, rows]), np.concatenate([*done_nodes, nodes])
 
 
+    def all_leaves(self, vectors: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) over all trees, by row and leaf; leaves are numbered in the forest."""
+        found = [self.leaves(vectors, t, norm) for t in range(self.trees)]
+        row = np.concatenate([r for r, _ in found])
+        leaf = np.concatenate([n * self.trees + t for t, (_, n) in enumerate(found)])
+        order = np.lexsort((leaf, row))
+        return row[order], leaf[order]
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     largest = np.abs(vectors).max(1, keepdims=True)
     scaled = vectors / largest
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
-    flat = column.values if isinstance(column, pa.Array) else None
-    if flat is not None:
-        start = column.offsets[0].as_py() if len(column) else 0
-        return flat.to_numpy(zero_copy_only=False)[start : start + len(column) * dims].astype(float).reshape(-1, dims)
-    return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, dims))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column whose lists have one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _router(forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Forest = forest.value
+def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit whole numbers in the direction of each vector, and how far that direction is from its own, at most."""
+    q = np.rint(vectors / np.abs(vectors).max(1, keepdims=True) * STEPS).astype("<i2")
+    off = _unit(vectors) - _unit(q.astype(float))
+    return q, (np.sqrt((off * off).sum(1)) * 1.001 + 1e-12).astype("<f4")
+
+
+def _norm(q: np.ndarray) -> np.ndarray:
+    return np.sqrt((q * q).sum(1))
+
+
+def _record(dims: int) -> np.dtype:
+    """A vector as it travels."""
+    return np.dtype([("node", "<i8"), ("weight", "<i8"), ("off", "<f4"), ("q", "<i2", (dims,))])
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    size = pc.list_value_length(batch["vector"]).to_numpy()
+    for dims in np.unique(size).tolist():
+        yield dims, batch.filter(pa.array(size == dims))
+
+
+def _placed(forests, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: (place of its leaves in the numbering, records, row, leaf). A short table of vectors is one leaf."""
+    for dims, own in _by_size(batch):
+        q, off = quantised(_matrix(own["vector"]))
+        records = np.zeros(len(q), _record(dims))
+        records["node"], records["weight"] = own["node"].to_numpy(), own["weight"].to_numpy()
+        records["off"], records["q"] = off, q
+        forest = forests.get(dims)
+        if forest is None:
+            yield dims, records, np.arange(len(q)), np.zeros(len(q), np.int64)
+        else:
+            numbers = q.astype(float)
+            yield dims, records, *forest.all_leaves(numbers, _norm(numbers))
+
+
+def _leaf_counter(forests) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = _unit(_matrix(b["vector"], f.dims))
-            found = [f.leaves(unit, t) for t in range(f.trees)]
-            row = np.concatenate([r for r, _ in found])
-            leaf = np.concatenate([n * f.trees + t for t, (_, n) in enumerate(found)])
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            stop = np.searchsorted(row, np.arange(len(unit) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(leaf))
-            yield pa.RecordBatch.from_arrays([b["rep"], b["weight"], b["vector"], lists], ["rep", "weight", "vector", "leaves"])
+            for dims, _, _, leaf in _placed(forests.value, b):
+                leaf, n = np.unique(leaf, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dims, np.int32)), pa.array(leaf), pa.array(n)], ["dims", "leaf", "n"])
+
+    return count
+
+
+def _router(forests) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROUTED_AT_ONCE):
+                for dims, records, row, leaf in _placed(forests.value, batch.slice(at, ROUTED_AT_ONCE)):
+                    size = records.dtype.itemsize
+                    data = records[row].tobytes()
+                    blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, len(data) + 1, size, dtype=np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dims, np.int32)), pa.array(leaf), pa.array(records["node"][row]), blobs], ["dims", "leaf", "node", "blob"])
 
     return route
 
 
-def _compare(dims: int, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _compare(forests, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between two parts of a leaf (or in one part), each counted in its lowest common leaf only."""
-        leaf, lo, hi = (int(group[c].iloc[0]) for c in ("leaf", "lo", "hi"))
-        group = group.sort_values("rep")
-        ids, weight = group["rep"].to_numpy(), group["weight"].to_numpy().astype(float)
-        unit = _unit(_matrix(group["vector"], dims))
-        near = unit @ unit.T >= least
+        """Links between two parts of a leaf (or in one part), each counted in its lowest common leaf only.
+
+        Of sure links, one row for each vector: the smallest node it reaches here and the weight it links with. Of
+        pairs too close to the limit for 16 bits to tell, a row for each."""
+        dims, leaf, lo, hi = (int(group[c].iloc[0]) for c in ("dims", "leaf", "lo", "hi"))
+        held = np.sort(np.frombuffer(b"".join(group["blob"]), _record(dims)), order="node")
+        numbers = held["q"].astype(float)
+        norm = _norm(numbers)
+        unit = (numbers / norm[:, None]).astype(np.float32)
+        cosine = unit @ unit.T
+        doubt = held["off"][:, None] + held["off"][None, :] + np.float32(SINGLE * dims)
+        near = cosine >= np.float32(least) - doubt
         np.fill_diagonal(near, False)
         if lo != hi:
-            part = group["part"].to_numpy()
+            part = _part(held["node"], group, lo)
             near &= part[:, None] != part[None, :]
-        any_near = np.flatnonzero(near.any(1))
-        if not len(any_near):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        near, ids, weight = near[np.ix_(any_near, any_near)], ids[any_near], weight[any_near]
-        lower = [np.asarray(x)[np.asarray(x) < leaf] for x in group["leaves"].to_numpy()[any_near]]
-        known = {k: i for i, k in enumerate(dict.fromkeys(int(x) for own in lower for x in own))}
-        own = np.zeros((len(ids), len(known)), np.float32)
-        for i, some in enumerate(lower):
-            own[i, [known[int(x)] for x in some]] = 1
-        counted = near & ((own @ own.T) == 0) if known else near
-        links = (counted * weight[None, :]).sum(1).astype(np.int64)
+        some = np.flatnonzero(near.any(1))
+        if not len(some):
+            return pd.DataFrame({"a": [], "b": [], "n": [], "sure": []}).astype({"a": "int64", "b": "int64", "n": "int64", "sure": bool})
+        sub = np.ix_(some, some)
+        near, sure, ids, weight = near[sub], cosine[sub] > np.float32(least) + doubt[sub], held["node"][some], held["weight"][some].astype(float)
+        forest = forests.value.get(dims)
+        if forest is not None:
+            row, at = forest.all_leaves(numbers[some], norm[some])
+            lower = at < leaf
+            known, at = np.unique(at[lower], return_inverse=True)
+            if len(known):
+                own = np.zeros((len(some), len(known)), np.float32)
+                own[row[lower], at] = 1
+                near &= own @ own.T == 0
+        sure &= near
+        links = (sure * weight[None, :]).sum(1).astype(np.int64)
         label = np.arange(len(ids))
         while True:
-            new = np.where(near, label[None, :], len(ids)).min(1)
-            new = np.minimum(new, label)
+            new = np.minimum(np.where(sure, label[None, :], len(ids)).min(1), label)
             if np.array_equal(new, label):
                 break
             label = new
-        return pd.DataFrame({"a": ids, "b": ids[label], "n": links})
+        linked = links > 0
+        x, y = np.nonzero(np.triu(near & ~sure))
+        return pd.DataFrame(
+            {
+                "a": np.concatenate([ids[linked], ids[x]]),
+                "b": np.concatenate([ids[label[linked]], ids[y]]),
+                "n": np.concatenate([links[linked], np.zeros(len(x), np.int64)]),
+                "sure": np.repeat([True, False], [int(linked.sum()), len(x)]),
+            }
+        )
 
     return compare
 
 
+def _part(nodes: np.ndarray, group: pd.DataFrame, lo: int) -> np.ndarray:
+    """Whether each node is of the part lo."""
+    return np.isin(nodes, group["node"].to_numpy()[group["part"].to_numpy() == lo])
+
+
+def _verifier(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(len(b), bool)
+            for i, (x, y) in enumerate(zip(b["va"], b["vb"], strict=True)):
+                u, v = (_unit(np.array([z.as_py()], float))[0] for z in (x, y))
+                keep[i] = u @ v >= least
+            yield b.select(["a", "b", "wa", "wb"]).filter(pa.array(keep))
+
+    return verify
+
+
+def _sampled(nodes: DataFrame, sizes: dict[int, int], sample: int, leaf: int, trees: int | None, spill: float) -> dict[int, Forest]:
+    """A forest for each length that has more vectors than a leaf, from a share of `sample` vectors in all."""
+    out = {}
+    total = sum(sizes.values())
+    for dims, n in sizes.items():
+        want = max(2 * NODE_SAMPLE, sample * n // total)
+        share = min(1.0, 1.2 * want / n)
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+        held = nodes.where((F.size("vector") == dims) & (place < int(share * (1 << 30)) + 1)).select("vector").limit(2 * want).toArrow()
+        out[dims] = Forest(_unit(_matrix(held["vector"].combine_chunks())), max(0, math.ceil(math.log2(n / leaf))), trees, spill)
+    return out
+
+
+def _either(left: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """left joined with a stored table of keys, which is broadcast where it is small."""
+    return left.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
 def embedding_groups(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -214,60 +333,59 @@ def embedding_groups(
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Vectors link if their cosine in double precision is `cosine` or more and they meet in a leaf of one of
-    `trees` trees (by default as many as the depth of the forest needs). Null and zero vectors, and those with null or non-finite components, link with nothing,
-    nor do vectors of another length than most. Equal vectors are one node with a weight. Splits are
-    placed by a bounded sample, every vector is routed. Inside a leaf all vectors are compared; a leaf of
-    more than `block` vectors is dealt out in parts, and every two parts are compared in a task of their
-    own. A pair is counted only in the lowest leaf that it shares, so that tasks return sums by vector and
-    one edge for each vector, not pairs. n_links counts other rows linked directly, component_id is the
-    smallest id reachable, kept is true where that is the row's own. Rows that repeat an id count as
-    vectors of their own. A null id never names a component: a group without other ids has a null one.
-    Other columns are ignored; an empty table gives an empty table.
+    Vectors of one length link if their cosine in double precision is `cosine` or more and they meet in a leaf of
+    one of `trees` trees (by default as many as the depth of the forest needs). Null and zero vectors, and those with
+    null or non-finite components, link with nothing, nor do vectors of different lengths. Equal vectors are one node
+    with a weight. Splits are placed by a bounded sample, for each length that has more vectors than a leaf; every
+    vector is routed.
+
+    A vector travels to its leaves as 16-bit steps, with a bound on their error. Inside a leaf all vectors are
+    compared; a leaf of more than `block` vectors is dealt out in parts, and every two parts are compared in a task
+    of their own. A pair is counted only in the lowest leaf that it shares, which a task finds by routing again the
+    vectors that have a near one, so that tasks return sums by vector and one edge for each vector, not pairs; only a
+    pair so near the limit that 16 bits cannot tell is returned, and decided from the vectors themselves.
+
+    n_links counts other rows linked directly, component_id is the smallest id reachable, kept is true where that is
+    the row's own. Rows that repeat an id count as vectors of their own, and so do rows with a null id, which never
+    names a component: a group without other ids has a null one. Other columns are ignored; an empty table gives an
+    empty table.
     """
     spark = vectors.sparkSession
-    # stored as they come, floats take half the room of doubles in each exchange; tasks compute in double
     kind = dict(vectors.dtypes)[vector_col]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
-    sizes = rows.where(usable(F.col("vector"))).groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    dims = sizes[0]["dims"] if sizes else 0
-    good = usable(F.col("vector")) & (F.size("vector") == dims)
-    reps = stored(
-        rows.where(good & F.col("vec_id").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors"
-    )
-    n = reps.count()
-    if n:
-        share = min(1.0, 1.2 * sample / n)
-        held = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vector").limit(2 * sample).toArrow()
-        points = _unit(_matrix(held["vector"].combine_chunks(), dims))
-    else:
-        points = np.zeros((1, 1))
-    forest = spark.sparkContext.broadcast(Forest(points, max(0, math.ceil(math.log2(max(n, 1) / leaf))), trees, spill))
-    routed = stored(
-        reps.mapInArrow(_router(forest), f"rep long, weight long, vector {kind}, leaves array<long>"),
-        "routed",
-    )
-    at = routed.select("rep", F.explode("leaves").alias("leaf"))
-    full = at.groupBy("leaf").count().where("count > 1")
-    parts = F.ceil(F.col("count") / block).cast("int")
+    good = rows.where(usable(F.col("vector"))).withColumns({"k": F.xxhash64("vector"), "l": F.xxhash64(F.lit(1), "vector")})
+    repeated = stored(good.groupBy("k", "l").count().where("count > 1").select("k", "l"), "repeated-vectors")
+    alone = _either(good, repeated, ["k", "l"], "left_anti").select("k", "l", "vector", F.col("vec_id").alias("least"), F.lit(1).cast("long").alias("weight"))
+    merged = _either(good, repeated, ["k", "l"], "left_semi").groupBy("k", "l", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    nodes = stored(alone.union(merged).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("vector")).count().where(F.col("count") > leaf).collect()}
+    forests = spark.sparkContext.broadcast(_sampled(nodes, sizes, sample, leaf, trees, spill))
+    travelling = nodes.select("node", "weight", "vector")
+    counts = travelling.mapInArrow(_leaf_counter(forests), "dims int, leaf long, n long").groupBy("dims", "leaf").agg(F.sum("n").alias("n"))
+    wide = stored(counts.where(F.col("n") > block).select("dims", "leaf", F.ceil(F.col("n") / block).cast("int").alias("parts")), "wide-leaves")
+    parts = F.coalesce("parts", F.lit(1))
     members = (
-        routed.select("rep", "weight", "vector", "leaves", F.explode("leaves").alias("leaf"))
-        .join(F.broadcast(full) if full.limit(100_001).count() <= 100_000 else full, "leaf")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        _either(travelling.mapInArrow(_router(forests), "dims int, leaf long, node long, blob binary"), wide, ["dims", "leaf"], "left")
+        .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("leaf", "rep", "weight", "vector", "leaves", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    )
-    links = stored(members.groupBy("leaf", "lo", "hi").applyInPandas(_compare(dims, cosine), "a long, b long, n long"), "links")
-    found = components(links.where("a <> b").select("a", "b").distinct())
-    total = links.groupBy("a").agg(F.sum("n").alias("n"))
-    nodes = (
-        reps.join(total, reps["rep"] == total["a"], "left")
-        .join(found, reps["rep"] == found["node"], "left")
-        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    named = rows.where(good & F.col("vec_id").isNotNull()).join(nodes, "vector").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~(good & F.col("vec_id").isNotNull()) | F.col("vector").isNull()).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+        .select("dims", "leaf", "node", "blob", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     )
-    return named.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    found = stored(members.groupBy("dims", "leaf", "lo", "hi").applyInPandas(_compare(forests, cosine), "a long, b long, n long, sure boolean"), "links")
+    vector_of = lambda c: nodes.select(F.col("node").alias(c), F.col("vector").alias(f"v{c}"), F.col("weight").alias(f"w{c}"))
+    doubtful = found.where("not sure").select("a", "b").join(vector_of("a"), "a").join(vector_of("b"), "b")
+    told = stored(doubtful.mapInArrow(_verifier(cosine), "a long, b long, wa long, wb long"), "told-links")
+    edges = found.where("sure and a <> b").select("a", "b").union(told.select("a", "b"))
+    total = (
+        found.where("sure").select("a", "n").union(told.select("a", F.col("wb").alias("n"))).union(told.select(F.col("b").alias("a"), F.col("wa").alias("n")))
+        .groupBy("a").agg(F.sum("n").alias("n"))
+    )
+    grouped = nodes.drop("vector").join(components(edges), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = (
+        grouped.join(total, grouped["node"] == total["a"], "left").join(names, "group")
+        .select("k", "l", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    )
+    linked = good.select("k", "l", "vec_id").join(named, ["k", "l"]).select("vec_id", "n_links", "component_id")
+    unusable = rows.where(~usable(F.col("vector"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(unusable).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

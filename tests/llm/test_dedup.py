@@ -136,7 +136,7 @@ def test_embeddings_against_brute_force(spark):
     base = rng.standard_normal((60, 16))
     some = [b + rng.standard_normal(16) * s for b in base for s in (0, 0.05, 0.1, 0.2, 0.3)] + [base[0] * 2, base[1].copy()]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(some)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [float("inf")] * 16), (905, [1.0, 2.0]), (None, [float(x) for x in base[2]])]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [float("inf")] * 16), (905, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "c", 1) for i, v in rows], "vec_id long, embedding array<double>, leaf string, rep int")
     for block in (7, 1024):
         found = {r["vec_id"]: r for r in embedding_groups(df, leaf=32, block=block, sample=100).collect()}
@@ -152,6 +152,48 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_groups(df.limit(0)).count() == 0
 
 
+def test_short_vectors_null_ids_and_repeated_ids_link(spark):
+    base = [float(x) for x in np.random.default_rng(9).standard_normal(8)]
+    other = [-x for x in base]
+    rows = [(1, base), (None, base), (None, [2 * x for x in base]), (2, other), (2, other), (2, [x + 1e-6 for x in other]), (3, [1.0, 2.0]), (4, [1.0, 2.0]), (None, [0.0, 1.0, 0.0])]
+    found = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str)
+    want = [(1, 2, 1, True), (None, 2, 1, False), (None, 2, 1, False), *[(2, 2, 2, True)] * 3, (3, 1, 3, True), (4, 1, 3, False), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_links_near_the_limit_are_told_in_double(spark):
+    rng = np.random.default_rng(10)
+    rows, step = [], [1e-9, -1e-9, 1e-13, 3e-6, -3e-6]
+    for i, d in enumerate(step * 4):
+        a, b = rng.standard_normal(32), rng.standard_normal(32)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.95 + d
+        rows += [(2 * i, [float(x) for x in a]), (2 * i + 1, [float(x) for x in c * a + np.sqrt(1 - c * c) * b])]
+    found = {r["vec_id"]: r["n_links"] for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(found[2 * i] == found[2 * i + 1] == (d > 0) for i, d in enumerate(step * 4) if abs(d) > 1e-12)
+
+
+def test_recall_at_default_settings(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((5000, 64)))
+    centre = unit(rng.standard_normal((1, 64)))
+    base[:1500] = unit(np.sqrt(0.7) * centre + np.sqrt(0.3) * base[:1500])
+    other = rng.standard_normal((5000, 64))
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    c = rng.uniform(0.951, 0.99, (5000, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    found = {r["vec_id"]: r["n_links"] for r in embedding_groups(df, leaf=256).collect()}
+    mine = np.array([found[i] for i in range(len(x))])
+    assert (mine <= near.sum(1)).all() and mine.sum() >= 0.99 * near.sum()
+
+
 def test_one_leaf_counts_every_pair_once(spark):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(8)

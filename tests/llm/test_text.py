@@ -278,7 +278,9 @@ def test_quality_scores(spark):
     assert len(found) == len(rows)
     kept = found.drop_duplicates("doc_id").set_index("doc_id")["kept"]
     assert kept[[i for i in range(300) if i != 7]].mean() > 0.97 and not kept[range(400, 420)].any()
-    assert not kept[500] and not kept[501] and kept[502] and kept[503]
+    assert not kept[500] and not kept[501] and kept[502]
+    by_id = found.drop_duplicates("doc_id").set_index("doc_id")["perplexity"]
+    assert abs(by_id[503] - by_id[1]) < 0.03
     assert quality_scores(docs(spark, []), trusted).count() == 0
     assert quality_scores(docs(spark, rows), trusted.limit(0)).where("kept").count() == len(rows) - 2
 
