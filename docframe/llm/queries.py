@@ -82,11 +82,25 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _list_entries(captures: DataFrame) -> DataFrame:
-    """Dated entries by rule, up to four for each host and its registered domain on two lists."""
+    """Dated entries by rule, up to four for each pattern on two lists.
+
+    Patterns are hosts and their registered domains, and by hash some paths: of one segment, of one in the wrong
+    case, of two below a host in capitals with a closing slash, and of four.
+    """
     host = F.regexp_extract("url", "^[a-z]+://([^/?#:@]+)", 1)
-    names = captures.select(host.alias("host")).distinct()
-    patterns = names.select(F.explode(F.array(F.col("host"), F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1))).alias("pattern")).distinct()
-    numbered = patterns.where("pattern <> ''").withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    segments = F.filter(F.split(F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1), "/"), lambda s: s != "")
+    places = captures.select(host.alias("host"), F.get(segments, 0).alias("s"), F.get(segments, 1).alias("t"))
+    several = F.array(
+        F.col("host"),
+        F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1),
+        F.concat("host", F.lit("/"), "s"),
+        F.concat("host", F.lit("/"), F.upper("s")),
+        F.concat(F.upper("host"), F.lit("/"), "s", F.lit("/"), "t", F.lit("/")),
+        F.concat("host", F.lit("/"), "s", F.lit("/"), "t", F.lit("/x/y")),
+    )
+    patterns = places.select(F.explode(several).alias("pattern")).where("pattern <> ''").distinct()
+    some = patterns.where(~F.col("pattern").contains("/") | (F.substring(F.md5("pattern"), 1, 1) < "4"))
+    numbered = some.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", "pattern", F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
     return numbered.withColumn("r", number).select(
         F.when(F.col("k") % 2 == 0, "ads").otherwise("malware").alias("list_name"),
@@ -104,25 +118,30 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH captures AS (
-  SELECT DISTINCT page_id, url, 1704067200 + page_id * 7919 % 15552000 AS ft, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host,
+  SELECT page_id, url, 1704067200 + page_id * 7919 % 15552000 AS ft, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host,
          list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
   FROM pages),
+places AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1) AS host, segs[1] AS s, segs[2] AS t FROM captures),
 patterns AS (
   SELECT DISTINCT pattern FROM (
-    SELECT host AS pattern FROM captures UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) FROM captures) WHERE pattern <> ''),
+    SELECT unnest([host, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), host || '/' || s, host || '/' || upper(s),
+                   upper(host) || '/' || s || '/' || t || '/', host || '/' || s || '/' || t || '/x/y']) AS pattern FROM places)
+  WHERE pattern <> '' AND (NOT contains(pattern, '/') OR substr(md5(pattern), 1, 1) < '4')),
 numbered AS (
   SELECT pattern, k, ('0x' || substr(md5(pattern || ':' || k), 1, 8))::BIGINT AS r FROM patterns, range(4) t(k)),
 entries AS (
   SELECT list_name, pattern, listed_at, max(action) AS action FROM (
-    SELECT CASE WHEN k % 2 = 0 THEN 'ads' ELSE 'malware' END AS list_name, pattern, r % 15552000 + 1704067200 AS listed_at,
+    SELECT CASE WHEN k % 2 = 0 THEN 'ads' ELSE 'malware' END AS list_name,
+           rtrim(lower(string_split(pattern, '/')[1]) || substr(pattern, length(string_split(pattern, '/')[1]) + 1), '/') AS pattern,
+           r % 15552000 + 1704067200 AS listed_at,
            CASE r % 3 WHEN 0 THEN 'remove' WHEN 1 THEN 'block' ELSE 'allow' END AS action FROM numbered) GROUP BY ALL),
 valid AS (
   SELECT *, lead(listed_at) OVER (PARTITION BY list_name, pattern ORDER BY listed_at) AS valid_to FROM entries),
-labels_of AS (SELECT *, string_split(host, '.') AS parts FROM captures),
+labels_of AS (SELECT DISTINCT *, string_split(host, '.') AS parts FROM captures),
 keyed AS (
   SELECT DISTINCT page_id, url, ft, unnest(list_concat(
-    list_transform(range(1, greatest(len(parts) - 1, 1) + 1), lambda i: array_to_string(parts[i:], '.')),
-    list_transform(range(1, least(len(segs), 2) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM labels_of),
+    list_transform(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN 1 ELSE greatest(len(parts) - 1, 1) END + 1), lambda i: array_to_string(parts[i:], '.')),
+    list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM labels_of),
 found AS (
   SELECT k.page_id, k.url, k.ft, v.pattern, v.list_name, v.action,
          row_number() OVER (PARTITION BY k.page_id, k.url, k.ft ORDER BY length(v.pattern) DESC, listed_at DESC, list_name DESC, action DESC) AS rn,

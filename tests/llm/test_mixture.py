@@ -14,6 +14,7 @@ import __spark_entry__
 import corpus_pipeline
 from docframe.llm import queries
 from docframe.llm.mixing import LARGEST_PART, OTHER, mix_sources, poisson_table, source_rates
+from docframe.llm import url_filters
 from docframe.llm.url_filters import filter_urls
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -57,11 +58,15 @@ CAPTURES = [
 TYPES = "page_id long, url string, fetch_time timestamp, pattern string, action int"
 
 
-def test_urls_against_plain_python(spark):
+@pytest.mark.parametrize("broadcast, hot", [(1000, 1000), (0, 1000), (0, 2)])
+def test_urls_against_plain_python(spark, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(url_filters, "BROADCAST_INTERVALS", broadcast)
+    monkeypatch.setattr(url_filters, "HOT_CAPTURES", hot)
     captures = spark.createDataFrame([(*c, "p", 1) for c in CAPTURES], TYPES)
     entries = spark.createDataFrame(ENTRIES, "list_name string, pattern string, action string, listed_at timestamp")
-    found = {(r["page_id"], r["fetch_time"]): r for r in filter_urls(captures, entries).collect()}
-    assert len(found) == len(set(CAPTURES))
+    rows = filter_urls(captures, entries).collect()
+    assert len(rows) == len(CAPTURES)
+    found = {(r["page_id"], r["fetch_time"]): r for r in rows}
     want = {1: (0, None, False), 2: (1, "bad.com", True), 3: (2, "bad.com", False), 4: (1, "bad.com", False), 5: (2, "bad.com", True), 6: (2, "good.bad.com", False),
             7: (1, "site.org/ads", True), 8: (0, None, False), 9: (0, None, False), 10: (0, None, False), 11: (0, None, False), 12: (1, "late.net", True), None: (1, "bad.com", True),
             13: (1, "late.net", True), 14: (0, None, False)}
@@ -71,6 +76,18 @@ def test_urls_against_plain_python(spark):
     assert filter_urls(captures, entries.limit(0)).where("blocked or n_active > 0").count() == 0
 
 
+def test_closing_slashes_and_addresses(spark):
+    listed = ["site.org/", "Other.org//a/", "[2001:DB8::1]", "10.0.0.7", "0.7"]
+    entries = spark.createDataFrame([("l", p, "block", at(1)) for p in listed], "list_name string, pattern string, action string, listed_at timestamp")
+    urls = ["http://site.org/x", "http://site.org", "http://other.org/a?b", "http://u@[2001:db8::1]:80/x", "http://10.0.0.7/", "http://other.org/b", "http://[2001:db8::2]/"]
+    captures = spark.createDataFrame([(i, u, at(2)) for i, u in enumerate(urls)], "page_id long, url string, fetch_time timestamp")
+    found = {r["page_id"]: (r["n_active"], r["pattern"], r["host"]) for r in filter_urls(captures, entries).collect()}
+    assert found == {
+        0: (1, "site.org", "site.org"), 1: (1, "site.org", "site.org"), 2: (1, "other.org/a", "other.org"), 3: (1, "[2001:db8::1]", "[2001:db8::1]"),
+        4: (1, "10.0.0.7", "10.0.0.7"), 5: (0, None, "other.org"), 6: (0, None, "[2001:db8::2]"),
+    }
+
+
 def test_path_patterns_of_any_depth_and_case(spark):
     listed = ["Site.org/a/b/c", "SITE.org/Ads", "deep.net/1/2/3/4/5/6", "site.org/a"]
     entries = spark.createDataFrame([("l", p, "block", at(1)) for p in listed], "list_name string, pattern string, action string, listed_at timestamp")
