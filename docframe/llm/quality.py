@@ -28,7 +28,7 @@ CHARS_AT_ONCE = 1 << 20
 #: Distinct characters at once, so that a gram of ORDER of them is a 64-bit number.
 SYMBOLS = 1 << (64 // ORDER)
 #: Distinct grams that a task holds before it sends counts on.
-GRAMS_HELD = 1 << 21
+GRAMS_HELD = 1 << 20
 PAD = ord(" ")
 UNKNOWN_LANG = ""
 
@@ -199,6 +199,12 @@ def _discount(level: DataFrame) -> DataFrame:
     )
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a few rows for each language, broadcast if it is small, so that no language is one task's key."""
+    held = stored(df, "by-language")
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+
+
 def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, bits): the bits of the last character of each gram after those before it.
 
@@ -216,7 +222,7 @@ def gram_bits(grams: DataFrame, order: int = ORDER) -> DataFrame:
     below = levels[0].groupBy("lang").agg((1.0 / (F.sum((F.col("c") > 0).cast("long")) + 1)).alias("p"))
     for k, level in enumerate(levels, 1):
         d = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") >= 2, F.col("d2")).when(F.col("c") >= 1, F.col("d1")).otherwise(0.0)
-        cut = level.join(_discount(level), "lang", "left").withColumn("d", d).withColumn("context", F.substring("gram", 1, k - 1))
+        cut = level.join(_few(_discount(level)), "lang", "left").withColumn("d", d).withColumn("context", F.substring("gram", 1, k - 1))
         contexts = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
         lower = below.select("lang", "p") if k == 1 else below.select("lang", F.col("gram").alias("shorter"), "p")
         joined = cut.join(contexts, ["lang", "context"]).withColumn("shorter", F.substring("gram", 2, k)).join(lower, ["lang"] if k == 1 else ["lang", "shorter"])
@@ -361,13 +367,13 @@ def quality_scores(
     )
     bits = (F.col("common_bits") + F.coalesce("rare_bits", F.lit(0.0))) / F.col("length")
     scored = stored(
-        partly.drop("rare", "times").join(tail, "row", "left").join(learned, "lang", "left")
+        partly.drop("rare", "times").join(tail, "row", "left").join(_few(learned), "lang", "left")
         .withColumn("bits", F.when(F.col("learned") & (F.col("length") > 0), bits))
         .withColumn("class", F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double"))).cast("int"))
         .select("lang", "class", "doc_id", "length", "bits", "trusted", "held_out", *more),
         "scores",
     )
-    limits = scored.join(_thresholds(scored, quantile, slack), ["lang", "class"], "left")
+    limits = scored.join(_few(_thresholds(scored, quantile, slack)), ["lang", "class"], "left")
     kept = F.when(F.col("length") == 0, False).when(F.col("bits").isNull() | F.col("limit").isNull(), True).otherwise(F.col("bits") <= F.col("limit"))
     return limits.select(
         "doc_id",
