@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import exists, new_path
+from docframe.llm.storage import exists, move, new_path, remove, stored
 
 
 def _either_case(word: str) -> str:
@@ -26,8 +28,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 #: Further kinds, by the public formats of these credentials.
 PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
-JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
-URL_LOGIN = r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"
+#: A token begins where no token character stands before it, so that each run of them is tried once.
+JWT = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
+URL_LOGIN = r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"
 
 
 @dataclass(frozen=True)
@@ -66,8 +69,14 @@ EXTRA = (
     Rule("jwt", JWT, needs=("eyJ",)),
     Rule("url_login", URL_LOGIN, needs=("://",)),
 )
-RULES_VERSION = "2"
 FINDINGS = "sha string, rule_version string, kinds array<string>, starts array<long>, ends array<long>"
+#: New blobs whose digests are broadcast to find their texts; more are joined.
+BROADCAST_BLOBS = 1_000_000
+
+
+def rules_version(rules: Iterable[Rule]) -> str:
+    """A digest of all that decides what the rules find."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least, r.needs) for r in rules]).encode()).hexdigest()[:16]
 
 
 def scan_text(text: str, rules: Iterable[Rule] = BASE + EXTRA) -> list[tuple[str, int, int]]:
@@ -99,10 +108,11 @@ def _scanner(rules: tuple[Rule, ...], version: str) -> Callable[[Iterator[pa.Rec
 class BlobLedger:
     """A table in shared storage of what was found in each blob under each version of the rules.
 
-    A blob is a text, named by the SHA-256 of its UTF-8 bytes. `scan` adds the pairs of blob and rule
-    version that the ledger does not have yet and reads no other text twice; `findings` gives the pairs of
-    one version. A batch of findings is one append of a whole file set, so a lost executor's task is run
-    again and a failed append leaves nothing that readers see.
+    A blob is a text, named by the SHA-256 of its UTF-8 bytes; a version is the digest of the rules, so that changed
+    rules never meet old findings. `scan` adds the pairs of blob and version that the ledger does not have yet and
+    reads no other text twice; `findings` gives the pairs of one version, each once, also where two writers have added
+    the same. A batch of findings is one append of a whole file set, so a lost executor's task is run again and a
+    failed append leaves nothing that readers see. `compact` writes the ledger anew, each pair once, in few files.
     """
 
     def __init__(self, spark, path: str | None = None) -> None:
@@ -114,16 +124,44 @@ class BlobLedger:
             return self.spark.read.schema(FINDINGS).parquet(self.path)
         return self.spark.createDataFrame([], FINDINGS)
 
-    def scan(self, texts: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, version: str = RULES_VERSION) -> None:
+    def _unseen(self, blobs: DataFrame, version: str) -> DataFrame:
+        """blobs (sha, text) without those that the ledger has. Digests are compared first, so that texts that are
+        known do not move."""
+        if not exists(self.spark, self.path):
+            return blobs
+        seen = self.table().where(F.col("rule_version") == version).select("sha")
+        new = stored(blobs.select("sha").distinct().join(seen, "sha", "left_anti"), "new-blobs")
+        return blobs.join(F.broadcast(new) if new.count() <= BROADCAST_BLOBS else new, "sha", "left_semi")
+
+    def scan(self, texts: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> None:
         """texts: one column, text. Equal texts merge in each map task before the shuffle."""
-        blobs = texts.select(F.sha2("text", 256).alias("sha"), "text").groupBy("sha", "text").agg(F.count(F.lit(1)))
-        if exists(self.spark, self.path):
-            seen = self.table().where(F.col("rule_version") == version).select("sha")
-            blobs = blobs.join(seen, "sha", "left_anti")
-        blobs.select("sha", "text").mapInArrow(_scanner(rules, version), FINDINGS).write.mode("append").parquet(self.path)
+        version = rules_version(rules)
+        blobs = self._unseen(texts.select(F.sha2("text", 256).alias("sha"), "text"), version)
+        once = blobs.groupBy("sha", "text").agg(F.count(F.lit(1)))
+        once.select("sha", "text").mapInArrow(_scanner(rules, version), FINDINGS).write.mode("append").parquet(self.path)
 
-    def findings(self, version: str = RULES_VERSION) -> DataFrame:
-        return self.table().where(F.col("rule_version") == version)
+    def findings(self, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
+        return self._once(self.table().where(F.col("rule_version") == rules_version(rules)))
+
+    @staticmethod
+    def _once(rows: DataFrame) -> DataFrame:
+        first = F.min(F.struct("kinds", "starts", "ends")).alias("f")
+        return rows.groupBy("sha", "rule_version").agg(first).select("sha", "rule_version", "f.kinds", "f.starts", "f.ends")
+
+    def compact(self, files: int | None = None) -> None:
+        """The same pairs, each once, in `files` files (or as many as a shuffle has partitions); one writer at a time.
+
+        The new table is whole before it takes the place of the old one, which is put aside and then removed.
+        """
+        if not exists(self.spark, self.path):
+            return
+        target = f"{self.path}-compact-{uuid.uuid4().hex}"
+        rows = self._once(self.table())
+        (rows.coalesce(files) if files else rows).write.parquet(target)
+        aside = f"{self.path}-old-{uuid.uuid4().hex}"
+        move(self.spark, self.path, aside)
+        move(self.spark, target, self.path)
+        remove(self.spark, aside)
 
 
 def find_secrets(
@@ -132,20 +170,22 @@ def find_secrets(
     text_col: str = "text",
     ledger: BlobLedger | None = None,
     rules: tuple[Rule, ...] = BASE + EXTRA,
-    version: str = RULES_VERSION,
 ) -> DataFrame:
     """Every row of versions (a historical version of a path): its path columns, blob and spans.
 
-    Columns: path_cols, sha, kinds, starts, ends (arrays, equal lengths, by start). A null text counts
-    as empty; an empty text has no spans; repeated rows each get a row; other columns are ignored. Whole
-    texts are scanned, each distinct one once for a rule version, also over several calls with one
-    ledger. An empty table gives an empty table.
+    Columns: path_cols, sha, kinds, starts, ends (arrays, equal lengths, by start); a path column of one of the last
+    four names is an error. A null text counts as empty; an empty text has no spans; repeated rows each get a row;
+    other columns are ignored. Whole texts are scanned, each distinct one once for a version of the rules, also over
+    several calls with one ledger. An empty table gives an empty table.
     """
+    own = ["sha", "kinds", "starts", "ends"]
+    if clash := [c for c in path_cols if c.lower() in own]:
+        raise ValueError(f"path columns {clash} have names of the result's own columns")
     ledger = ledger or BlobLedger(versions.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ledger.scan(versions.select(text.alias("text")), rules, version)
+    ledger.scan(versions.select(text.alias("text")), rules)
     paths = versions.select(*path_cols, F.sha2(text, 256).alias("sha"))
-    some = ledger.findings(version).where("size(kinds) > 0").drop("rule_version")
+    some = ledger.findings(rules).where("size(kinds) > 0").drop("rule_version")
     none = F.expr("array()")
     return paths.join(some, "sha", "left").select(
         *path_cols,

@@ -69,6 +69,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.cancelDeleteOnExit(target)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    files, target = _hadoop(spark, path)
+    if not files.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, target = _hadoop(spark, path)
     return files.exists(target)

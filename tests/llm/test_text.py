@@ -4,15 +4,18 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import DATA
 from tokenizers import Tokenizer
 
-from docframe.llm import packing, quality
+from docframe.llm import packing, quality, queries
 from docframe.llm.langid import fit_dictionaries, identify_language
 from docframe.llm.quality import quality_scores
 from docframe.llm.secrets import BASE, BlobLedger, Rule, find_secrets, scan_text, secret_digest
@@ -65,11 +68,97 @@ def test_ledger_scans_each_blob_once(spark):
     assert ledger.table().count() == 2
     more = first.union(docs(spark, [(5, "secret=qwertyu"), (1, "token=abcdefg")]))
     assert find_secrets(more, ["doc_id"], ledger=ledger).count() == 6 and ledger.table().count() == 3
-    again = find_secrets(more, ["doc_id"], ledger=ledger, rules=(Rule("short", "abc"),), version="other")
+    short = (Rule("short", "abc"),)
+    again = find_secrets(more, ["doc_id"], ledger=ledger, rules=short)
     assert ledger.table().count() == 6 and sorted(r["kinds"] for r in again.collect())[-3:] == [["short"]] * 3
+    # the same kind by another pattern is another version
+    changed = find_secrets(more, ["doc_id"], ledger=ledger, rules=(Rule("short", "qwe"),))
+    assert sum(len(r["kinds"]) for r in changed.collect()) == 1 and ledger.table().count() == 9
     assert find_secrets(docs(spark, []), ["doc_id"]).count() == 0
 
 
+def test_ledger_of_two_writers(spark):
+    ledger = BlobLedger(spark)
+    own = docs(spark, [(1, "token=abcdefg"), (2, "")])
+    find_secrets(own, ["doc_id"], ledger=ledger)
+    ledger.table().write.mode("append").parquet(ledger.path)
+    assert ledger.table().count() == 4 and find_secrets(own, ["doc_id"], ledger=ledger).count() == 2
+    ledger.compact(files=1)
+    assert ledger.table().count() == 2 and len(ledger.table().inputFiles()) == 1
+    assert [r["kinds"] for r in find_secrets(own, ["doc_id"], ledger=ledger).orderBy("doc_id").collect()] == [["assign"], []]
+
+
+def test_path_columns_of_the_results_names_are_an_error(spark):
+    with pytest.raises(ValueError, match="kinds"):
+        find_secrets(docs(spark, [(1, "x")]), ["doc_id", "kinds"])
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 333_334, "eyJaaaaaaaa." * 80_000, "password " * 110_000, "a://b:" * 160_000, "-----BEGIN PRIVATE KEY-----" * 40_000])
+def test_long_texts_are_scanned_in_linear_time(text):
+    began = time.perf_counter()
+    scan_text(text)
+    assert time.perf_counter() - began < 3
+
+
+def plain_base_spans(text):
+    """The base kinds by hand, without regular expressions."""
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    lower = "".join(c.lower() if c in string.ascii_uppercase else c for c in text)
+    found = []
+    i = 0
+    while i < len(text):
+        name = next((n for n in names if lower.startswith(n, i)), None)
+        at = i + len(name) if name else i
+        if name:
+            at += text[at : at + 1] in ('"', "'") and bool(text[at : at + 1])
+            while text[at : at + 1] == " ":
+                at += 1
+            sign = text[at : at + 1] in (":", "=") and bool(text[at : at + 1])
+            if sign:
+                at += 1
+                while text[at : at + 1] == " ":
+                    at += 1
+                at += text[at : at + 1] in ('"', "'") and bool(text[at : at + 1])
+                end = at
+                while text[end : end + 1] in value:
+                    end += 1
+                if end > at:
+                    if end - at >= 6:
+                        found.append((i, 0, "assign", end))
+                    i = end
+                    continue
+        i += 1
+    for rank, kind, head, own, least in ((1, "access", "AKIA", set(string.ascii_uppercase + string.digits), 20), (2, "hex", "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            end = i + len(head)
+            if text.startswith(head, i):
+                while text[end : end + 1] in own:
+                    end += 1
+            if text.startswith(head, i) and end > i + len(head):
+                if end - i >= least:
+                    found.append((i, rank, kind, end))
+                i = end
+            else:
+                i += 1
+    return [f"{kind}:{s}:{e}" for s, _, kind, e in sorted(found)]
+
+
+def test_op1_against_a_scan_by_hand(spark):
+    found = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, DATA.replace("0.001", "0.01")).collect()}
+    rows = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()
+    some = 0
+    for r in rows:
+        want = plain_base_spans(r["text"] or "")
+        some += len(want)
+        own = found[r["doc_id"]]
+        assert own["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [own[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+        assert set(want) <= set(own["spans"].split(","))
+    assert some > 0 and len(found) == len(rows)
+
+
 # packing
 
 
