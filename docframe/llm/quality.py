@@ -19,6 +19,8 @@ QUANTILE = 0.99
 SLACK = 1.0
 #: Held-out trusted documents that a class of length needs for a threshold of its own.
 CLASS_LEAST = 50
+#: Deviations above the mean, where a language has too few held-out trusted documents for the quantile.
+FEW_DEVIATIONS = 4.0
 #: Most frequent grams whose probabilities are broadcast; rarer ones are joined, by shards of the gram.
 COMMON = 1 << 18
 #: Trusted ids that are broadcast; more are joined.
@@ -328,7 +330,8 @@ def quality_scores(
     gram, and summed. No text is shuffled, and the number of languages adds no pass.
 
     The threshold is the `quantile` of held-out trusted documents of the same language and class of
-    length (a power of two; the language's own, where a class has few), times slack. A document is kept
+    length (a power of two; the language's own, where a class has few, and no less than FEW_DEVIATIONS above the mean
+    where the language has too few for the quantile), times slack. A document is kept
     if its bits a character do not exceed it. Empty and null texts have no perplexity and are not kept.
     A language without trusted text has no model and no threshold, and all its documents with text are kept, without
     a perplexity; a null language is one of its own. Repeated rows each get a row; other columns are ignored; empty
@@ -389,7 +392,9 @@ def _thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
     """(lang, class, limit) for each language and class of length that occur; at most 32 classes of a language."""
     sample = scored.where("trusted and held_out and bits is not null")
     middle: Column = F.percentile_approx("bits", quantile, 10_000)
-    by_lang = sample.groupBy("lang").agg(middle.alias("of_lang"))
+    # few documents do not reach the quantile: it is no less than so many deviations above their mean
+    far = F.avg("bits") + FEW_DEVIATIONS * F.coalesce(F.stddev_samp("bits"), 0.1 * F.avg("bits"))
+    by_lang = sample.groupBy("lang").agg(F.when(F.count(F.lit(1)) * (1 - quantile) < 1, F.greatest(middle, far)).otherwise(middle).alias("of_lang"))
     by_class = sample.groupBy("lang", "class").agg(middle.alias("of_class"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS_LEAST)
     every = scored.select("lang", "class").distinct().join(by_lang, "lang").join(by_class, ["lang", "class"], "left")
     return every.select("lang", "class", (F.coalesce("of_class", "of_lang") * slack).alias("limit"))
