@@ -78,8 +78,10 @@ def mix_sources(
     the hash of (seed, id, copy) and are sorted by it there, so that every task is a random part of the
     mixture and a source with a third of all rows spreads evenly. Sources that have no rows take no
     share. Rows of sources with a zero or no weight are left out (sources that weights don't name stay with
-    keep_other, see source_rates), as are rows whose count is 0; a null source is OTHER; a null id hashes as empty; rows that repeat an id have the same count. An empty table gives an
-    empty table.
+    keep_other, see source_rates), as are rows whose count is 0; a null source is OTHER; a null id hashes as empty;
+    rows that repeat an id have the same count. Columns of docs keep their names and values: where one is called
+    copy or shuffle_key, the new column has "_" after its name, as often as needed. An empty table gives an empty
+    table.
     """
     rates = source_rates(docs, weights, source_col, total, keep_other)
     key = source_key(F.col(source_col), {k: w for k, w in weights.items() if k != OTHER})
@@ -95,8 +97,16 @@ def mix_sources(
     numbers = F.transform(F.sequence(F.lit(1), n_parts), lambda j: uniform(F.lit(seed), ident, j))
     drawn = F.transform(numbers, lambda u: F.size(F.filter(table, lambda p: p <= u)))
     count = F.aggregate(drawn, F.lit(0), lambda a, x: a + x)
+    copy, place = _free_name("copy", docs.columns), _free_name("shuffle_key", docs.columns)
     repeated = docs.withColumn("__n", count).where("__n > 0")
-    copies = repeated.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    keyed = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident, F.lit("copy"), F.col("copy").cast("string"))), 1, 16))
-    dealt = keyed.repartition(partitions, "shuffle_key") if partitions else keyed.repartition("shuffle_key")
-    return dealt.sortWithinPartitions("shuffle_key")
+    copies = repeated.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    keyed = copies.withColumn(place, F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident, F.lit("copy"), F.col(copy).cast("string"))), 1, 16))
+    dealt = keyed.repartition(partitions, place) if partitions else keyed.repartition(place)
+    return dealt.sortWithinPartitions(place)
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name

@@ -158,20 +158,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sql(docs: str, weights: dict[str, float], seed: str = "mix", part: float = 8.0) -> str:
-    """SQL for mix_sources over a relation with the columns of documents and unique ids."""
+    """SQL for mix_sources with keep_other over a relation with the columns of documents and unique ids."""
     values = ", ".join(f"('{k}', {w!r}::DOUBLE)" for k, w in weights.items())
     return f"""
 WITH w(source, weight) AS (VALUES {values}),
-n AS (SELECT source, weight, count(*)::DOUBLE AS c FROM {docs} JOIN w USING (source) GROUP BY ALL),
-rate AS (SELECT source, (SELECT sum(c) FROM n) * weight / (SELECT sum(weight) FROM n) / c AS r FROM n),
-parts AS (SELECT source, greatest(1, ceil(r / {part}))::BIGINT AS m, r / greatest(1, ceil(r / {part})) AS mean FROM rate),
-terms AS (SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM parts, range(64) t(k)),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS p FROM terms),
+keyed AS (SELECT d.*, coalesce(w.source, '*') AS key, w.weight FROM {docs} d LEFT JOIN w ON d.source = w.source),
+n AS (SELECT key, any_value(weight) AS weight, count(*)::DOUBLE AS c FROM keyed GROUP BY key),
+named AS (SELECT sum(c) AS c, sum(weight) AS weight FROM n WHERE key <> '*'),
+rate AS (SELECT key, CASE WHEN key = '*' THEN 1.0 ELSE (SELECT c FROM named) * weight / (SELECT weight FROM named) / c END AS r FROM n),
+parts AS (SELECT key, greatest(1, ceil(r / {part}))::BIGINT AS m, r / greatest(1, ceil(r / {part})) AS mean FROM rate),
+terms AS (SELECT key, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM parts, range(64) t(k)),
+cdf AS (SELECT key, k, sum(p) OVER (PARTITION BY key ORDER BY k) AS p FROM terms),
 drawn AS (
-  SELECT d.doc_id, d.source, unnest(range(1, m + 1)) AS j FROM {docs} d JOIN parts USING (source)),
+  SELECT d.doc_id, key, unnest(range(1, m + 1)) AS j FROM keyed d JOIN parts USING (key)),
 numbers AS (
   SELECT *, ('0x' || substr(md5('{seed}:' || doc_id || ':' || j), 1, 12))::BIGINT / 281474976710656.0 AS u FROM drawn),
-found AS (SELECT doc_id, j, count(*) FILTER (WHERE p <= u) AS x FROM numbers JOIN cdf USING (source) GROUP BY doc_id, j),
+found AS (SELECT doc_id, j, count(*) FILTER (WHERE p <= u) AS x FROM numbers JOIN cdf USING (key) GROUP BY doc_id, j),
 counts AS (SELECT doc_id, sum(x)::BIGINT AS n FROM found GROUP BY doc_id HAVING sum(x) > 0),
 copies AS (SELECT doc_id, unnest(range(n))::INTEGER AS copy FROM counts)
 SELECT d.*, copy, substr(md5('{seed}:' || d.doc_id || ':copy:' || copy), 1, 16) AS shuffle_key FROM copies JOIN {docs} d USING (doc_id)

@@ -153,6 +153,13 @@ def test_no_source_disappears(spark, tmp_path):
         assert all(320 < sizes[s] < 480 for s in (None, "blog", "wiki")) and sizes["src0"] > sizes["src1"] > 0
 
 
+def test_columns_of_the_new_columns_names_stay(spark):
+    df = spark.createDataFrame([(i, "a", f"own{i}", "x") for i in range(50)], "doc_id long, source string, Copy string, shuffle_key string")
+    found = mix_sources(df, {"a": 1.0})
+    assert found.columns == [*df.columns, "copy_", "shuffle_key_"]
+    assert all(r["Copy"] == f"own{r['doc_id']}" and r["shuffle_key"] == "x" for r in found.collect())
+
+
 def test_order_is_shuffled(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'a' AS source")
     ids = [r["doc_id"] for r in mix_sources(df, {"a": 1.0}).collect()]
