@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of sampled text in a dictionary, and of one text in it at most.
+#: Bytes of sampled text in a dictionary, and characters of one text in it at most.
 DICTIONARY_BYTES = 192 << 10
 TEXT_BYTES = 8 << 10
 #: Training rows of a language that are looked at to fill its dictionary.
@@ -32,9 +32,9 @@ def folded(text: str) -> bytes:
 def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Sampled text of each non-null language, most frequent language first.
 
-    The sample is bounded: by hash of the id, about SAMPLE_ROWS rows of a language, and of these whole
-    texts up to TEXT_BYTES until DICTIONARY_BYTES are full. Rows of a language are thinned by hash before
-    they are ranked, so that no task ranks a whole language.
+    The sample is bounded: by hash of the id, about SAMPLE_ROWS rows of a language, and of each a window of
+    TEXT_BYTES characters at a place by hash (the whole text, where it is shorter) until DICTIONARY_BYTES are full.
+    Rows of a language are thinned by hash before they are ranked, so that no task ranks a whole language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -42,9 +42,9 @@ def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * SAMPLE_ROWS / n))])
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).where(
-        (F.octet_length("text") <= TEXT_BYTES) & (F.col("place") <= share[F.col("lang")])
-    )
+    beyond = F.greatest(F.length(text_col) - TEXT_BYTES, F.lit(0)) + 1
+    window = F.substring(F.col(text_col), F.pmod(F.xxhash64(id_col, F.lit(1)), beyond).cast("int") + 1, F.lit(TEXT_BYTES))
+    sample = rows.select(F.col(lang_col).alias("lang"), window.alias("text"), place.alias("place")).where(F.col("place") <= share[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sample.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("lang", "rank").toLocalIterator():

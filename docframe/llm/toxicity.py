@@ -36,7 +36,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _GAP = re.compile(r"[\W_]+")
-_SIGN_RUN = re.compile(r"[@$]{2,}")
+#: Runs of signs that no letter or digit follows are noise; others stand for letters.
+_SIGN_RUN = re.compile(r"[@$]{2,}(?![@$]|[^\W_])")
 
 
 def fold(text: str) -> str:

@@ -394,6 +394,9 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values()) and found[None]["lang_pred"] == "bb"
     assert not found[2002]["accepted"] and found[1002]["accepted"]
     assert identify_language(docs(spark, test), {}).first()["lang_pred"] == "und"
+    # a language that has only very long texts has a dictionary all the same
+    long = fit_dictionaries(docs(spark, [(1, "zug nacht " * 40_000), (2, "the night")], {1: "de"}))
+    assert len(long["de"]) > 4000 and identify_language(docs(spark, [(3, "nacht zug " * 30_000)]), long).first()["lang_pred"] == "de"
     assert identify_language(docs(spark, []), dictionaries).count() == 0 and fit_dictionaries(docs(spark, [])) == {}
 
 
@@ -402,6 +405,7 @@ def test_language(spark):
 
 def test_folding():
     assert fold("L0s3r, ｌｏｓｅｒ!") == " loser loser "
+    assert fold("A$$hole done$$$ @$$ b@@d, $$x") == " asshole done  baad ssx ".replace("  ", " ")
     assert fold("lоsеr") == " loser " and fold("") == "  " and fold("a​b") == " ab "
 
 
