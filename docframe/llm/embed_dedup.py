@@ -20,7 +20,7 @@ COSINE = 0.95
 TREES = 5
 TREES_A_LEVEL = 3
 DEEP = 7
-LEAF = 1024
+LEAF = 512
 #: Half the width of the band about a split whose vectors go to both sides, in standard deviations.
 SPILL = 0.08
 #: Vectors that are read to place the splits of the upper levels, and vectors of the sample in a fitted node at least.
@@ -30,7 +30,9 @@ NODE_SAMPLE = 40
 TIGHT = 0.9
 TIGHT_LEAST = 8
 #: Vectors of a leaf that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 2048
+#: Vectors whose cosines with all of a task's are held at once.
+ROWS_AT_ONCE = 512
 SEED = 20_240_607
 #: Largest component of a vector as it travels, in 16-bit steps, and steps of a direction: products of these are
 #: whole numbers below 2**53 (up to 2**18 components), so that a sum of them is the same in any order.
@@ -242,18 +244,11 @@ def _compare(forests, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         numbers = held["q"].astype(float)
         norm = _norm(numbers)
         unit = (numbers / norm[:, None]).astype(np.float32)
-        cosine = unit @ unit.T
-        doubt = held["off"][:, None] + held["off"][None, :] + np.float32(SINGLE * dims)
-        near = cosine >= np.float32(least) - doubt
-        np.fill_diagonal(near, False)
-        if lo != hi:
-            part = _part(held["node"], group, lo)
-            near &= part[:, None] != part[None, :]
-        some = np.flatnonzero(near.any(1))
+        own = _part(held["node"], group, lo) if lo != hi else None
+        some, near, sure = _near(unit, held["off"] + np.float32(SINGLE * dims / 2), least, own)
         if not len(some):
             return pd.DataFrame({"a": [], "b": [], "n": [], "sure": []}).astype({"a": "int64", "b": "int64", "n": "int64", "sure": bool})
-        sub = np.ix_(some, some)
-        near, sure, ids, weight = near[sub], cosine[sub] > np.float32(least) + doubt[sub], held["node"][some], held["weight"][some].astype(float)
+        ids, weight = held["node"][some], held["weight"][some].astype(float)
         forest = forests.value.get(dims)
         if forest is not None:
             row, at = forest.all_leaves(numbers[some], norm[some])
@@ -285,6 +280,23 @@ def _compare(forests, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compare
 
 
+def _near(unit: np.ndarray, off: np.ndarray, least: float, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(some, near, sure): the rows that have a near one, and which of them may link and surely do.
+
+    With part (whether a row is of the first of two parts) only rows of different parts are compared."""
+    near, sure = np.zeros((len(unit), len(unit)), bool), np.zeros((len(unit), len(unit)), bool)
+    for at in range(0, len(unit), ROWS_AT_ONCE):
+        rows = slice(at, at + ROWS_AT_ONCE)
+        beyond = unit[rows] @ unit.T - np.float32(least)
+        doubt = off[rows, None] + off[None, :]
+        near[rows], sure[rows] = beyond >= -doubt, beyond > doubt
+        if part is not None:
+            near[rows] &= part[rows, None] != part[None, :]
+    np.fill_diagonal(near, False)
+    some = np.flatnonzero(near.any(1))
+    return some, near[np.ix_(some, some)], sure[np.ix_(some, some)]
+
+
 def _part(nodes: np.ndarray, group: pd.DataFrame, lo: int) -> np.ndarray:
     """Whether each node is of the part lo."""
     return np.isin(nodes, group["node"].to_numpy()[group["part"].to_numpy() == lo])
