@@ -82,9 +82,10 @@ class Forest:
         trees = forest_trees(depth) if trees is None else trees
         self.depth, self.trees, self.dims = depth, trees, sample.shape[1] if sample.ndim == 2 else 0
         self.spill = spill
-        self.fitted: list[dict[int, tuple[float, float]]] = []
-        self.centre: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        self.whole: list[set[int]] = []
+        #: By tree: sorted nodes with cut and deviation; sorted nodes with mean and deviations; sorted whole nodes.
+        self.fitted: list[tuple[np.ndarray, np.ndarray]] = []
+        self.centre: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.whole: list[np.ndarray] = []
         for t in range(trees):
             nodes: dict[int, tuple[float, float]] = {}
             centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -109,9 +110,11 @@ class Forest:
                         else:
                             centres[k] = (mean, own.std(0))
                 held = below
-            self.fitted.append(nodes)
-            self.centre.append(centres)
-            self.whole.append(whole)
+            fitted, places = np.array(sorted(nodes), np.int64), np.array(sorted(centres), np.int64)
+            self.fitted.append((fitted, np.array([nodes[k] for k in fitted.tolist()]).reshape(-1, 2)))
+            self.centre.append((places, *(np.array([centres[k][i] for k in places.tolist()]).reshape(-1, self.dims) for i in (0, 1))))
+            self.whole.append(np.array(sorted(whole), np.int64))
+        self.directions = np.array([[direction(t, level, self.dims) for level in range(depth)] for t in range(trees)]).reshape(trees, depth, -1)
 
     def leaves(self, vectors: np.ndarray, tree: int, norm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf of the tree that a vector falls into; leaves are numbered in the tree.
@@ -119,39 +122,34 @@ class Forest:
         The vectors have length 1, or are whole numbers with the given norms; the leaves of a vector of whole
         numbers are the same wherever they are computed."""
         rows, nodes = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
-        last = np.zeros(len(vectors), np.int64)
+        # of each path the centre that its splits go through, once it has left the fitted nodes
+        last = np.full(len(vectors), -1)
         done_rows, done_nodes = [], []
-        whole = np.array(sorted(self.whole[tree]), np.int64)
+        fitted, cuts = self.fitted[tree]
+        places, means, deviations = self.centre[tree]
         for level in range(self.depth):
-            if len(whole):
-                ends = np.isin(nodes, whole)
+            ends = np.isin(nodes, self.whole[tree])
+            if ends.any():
                 done_rows.append(rows[ends])
                 done_nodes.append(nodes[ends])
                 rows, nodes, last = rows[~ends], nodes[~ends], last[~ends]
-            along = direction(tree, level, self.dims)
+            along = self.directions[tree, level]
             p = vectors @ (along * DIRECTION_STEPS) / DIRECTION_STEPS
             p = (p if norm is None else p / norm)[rows]
-            cut, width = np.empty(len(rows)), np.empty(len(rows))
-            order = np.argsort(nodes, kind="stable")
-            new_last = last.copy()
-            for group in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1) if len(order) else []:
-                node = int(nodes[group[0]])
-                if node in self.fitted[tree]:
-                    cut[group], std = self.fitted[tree][node]
-                else:
-                    root = int(last[group[0]]) or node
-                    new_last[group] = root
-                    mean, dev = self.centre[tree][root]
-                    cut[group], std = mean @ along, float(np.sqrt((dev * along) @ (dev * along)))
-                width[group] = self.spill * std
-            last = new_last
-            left, right = p < cut + width, p >= cut - width
+            at = np.minimum(np.searchsorted(fitted, nodes), len(fitted) - 1)
+            known = fitted[at] == nodes
+            new = ~known & (last < 0)
+            last[new] = np.searchsorted(places, nodes[new])
+            cut, std = cuts[at, 0], cuts[at, 1]
+            if not known.all():
+                own = last[~known]
+                cut[~known], std[~known] = (means * along).sum(1)[own], np.sqrt(((deviations * along) ** 2).sum(1))[own]
+            left, right = p < cut + self.spill * std, p >= cut - self.spill * std
             rows = np.concatenate([rows[left], rows[right]])
             nodes = np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
             last = np.concatenate([last[left], last[right]])
         return np.concatenate([*done_rows, rows]), np.concatenate([*done_nodes, nodes])
 
-
     def all_leaves(self, vectors: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) over all trees, by row and leaf; leaves are numbered in the forest."""
         found = [self.leaves(vectors, t, norm) for t in range(self.trees)]
