@@ -167,24 +167,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def _text_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.array([fingerprint(t.as_py()) for t in b["text"]], np.uint64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
-
-
-def near_copy_keepers(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row (doc_id, text_hash) for each group of near copies: that of the smallest id, nulls last.
-
-    Unlike simhash_groups, whose nodes are ids, the nodes are fingerprints: texts that share an id, or have
-    none, are one group only if their fingerprints are near. text_hash is xxhash64 of the text, null as empty.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    fps = stored(rows.mapInArrow(_text_fingerprints, "doc_id long, text_hash long, fp long"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    reps = stored(fps.groupBy("fp").agg(first), "reps")
-    found = components(fingerprint_links(reps.select(F.col("fp").alias("rep"), "fp"), block))
-    grouped = reps.join(found, reps["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("group"))
-    return grouped.agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")

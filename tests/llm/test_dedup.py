@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from docframe.llm import near_copies
 from docframe.llm.components import components
 from docframe.llm.embed_dedup import Forest, embedding_groups
 from docframe.llm.exact_dedup import build_index, drop_exact_copies, exact_dedup, split_directory
@@ -250,3 +251,59 @@ def test_survivor_of_repeated_id_and_text_is_fixed(spark):
     rows = [(1, "x", lang) for lang in ("fr", "en", "de")]
     kept = [drop_exact_copies(spark.createDataFrame(r, "doc_id long, text string, lang string")).collect() for r in (rows, rows[::-1])]
     assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+def test_near_copies_by_five_words(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in ("ar", "el", "in", "os", "u") for c in "klmnt"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows, base = [], [text(rng.choice([60, 300, 900])) for _ in range(60)]
+    for i, t in enumerate(base):
+        rows.append((i, t))
+        for k in range(4):
+            own = t.split()
+            for _ in range(max(1, len(own) * k // 100)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((1000 + 10 * i + k, " ".join(own)))
+    rows += [(5000, None), (5001, " "), (5002, "Two words"), (5003, "two  WORDS"), (5004, "two other"), (None, base[0]), (7, text(90)), (7, base[3] + " more"), (5005, "long " * 200_000)]
+    df = odd(spark, rows)
+    texts = list(dict.fromkeys(t or "" for _, t in rows))
+    sets = [set(near_copies.shingles(near_copies.words_of(t)).tolist()) for t in texts]
+    alike = lambda x, y: not (x | y) or len(x & y) >= 0.8 * len(x | y)
+    true = [(i, k) for i in range(len(texts)) for k in range(i) if alike(sets[i], sets[k])]
+    group = union_find(len(texts), true)
+    number = {t: i for i, t in enumerate(texts)}
+    hashes = {r["h"]: r["t"] for r in df.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    kept = [(r["doc_id"], hashes[r["text_hash"]]) for r in near_copies.near_copy_keepers(df).collect()]
+    held = [group[number[t]] for _, t in kept]
+    # every group keeps a row, and nearly all keep just one, that of the smallest id
+    assert set(held) == set(group) and len(held) <= 1.04 * len(set(group))
+    least = {}
+    for i, t in rows:
+        g = group[number[t or ""]]
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert sum((i is None, i or 0) == least[group[number[t]]] for i, t in kept) >= 0.97 * len(kept)
+    assert near_copies.near_copy_keepers(odd(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_candidates_lose_no_near_fingerprint_of_a_cell(spark, block):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 256, (30, 32), np.uint8)
+    fps = [b ^ np.packbits(rng.random(256) < 0.02) for b in base for _ in range(6)]
+    rows = [(int(i) * 7 % 1009, f.tobytes()) for i, f in enumerate(fps)]
+    pairs = [(r["a"], r["b"]) for r in near_copies.candidate_pairs(spark.createDataFrame(rows, "node long, fp binary"), len(rows), block).collect()]
+    number = {n: i for i, (n, _) in enumerate(rows)}
+    assert union_find(len(rows), [(number[a], number[b]) for a, b in pairs]) == [i - i % 6 for i in range(len(rows))]
+    assert all(a < b for a, b in pairs)
+
+
+def test_popcounts_bound_the_distance_of_fingerprints():
+    rng = np.random.default_rng(14)
+    a = rng.integers(0, 1 << 64, (500, near_copies.WORDS), np.uint64, endpoint=False)
+    b = a ^ (rng.integers(0, 1 << 64, a.shape, np.uint64, endpoint=False) & rng.integers(0, 1 << 64, a.shape, np.uint64, endpoint=False))
+    x, y = (near_copies.popcounts(v).astype(int) for v in (a, b))
+    assert (np.abs(x - y).sum(1) == np.bitwise_count(unary_codes(a) ^ unary_codes(b)).sum(1)).all()
+    assert (np.abs(x - y).sum(1) <= np.bitwise_count(a ^ b).sum(1)).all()
+    sizes = [len(near_copies.grids(n)[0]) for n in (10, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and [len(near_copies.grids(n)) for n in (10, 10**6, 10**9)] == sorted(len(near_copies.grids(n)) for n in (10, 10**6, 10**9))

@@ -193,11 +193,8 @@ def test_stages_on_odd_documents(spark, tmp_path):
         seen.append({r["doc_id"] for r in docs.collect()})
     assert not seen[0] & {300, 301, 302} and set(range(100, 110)) <= seen[0]
     assert seen[1] >= set(range(100, 110)) and not seen[1] & (set(range(10)) - {5} | {5})
-    from docframe.llm.simhash import fingerprint
-
-    own = {r[0]: fingerprint(r[1]) for r in rows if r[0] in seen[1]}
-    for k in seen[1] - seen[2]:
-        assert any((own[k] ^ own[o]).bit_count() <= 3 for o in own if o < k)
+    # a word of 300 changed: the near copies of 10 to 19 go, and nothing else does
+    assert seen[1] - seen[2] == set(range(210, 220))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(root))
     assert {r["doc_id"] for r in packed.collect()} == seen[3] <= seen[2]
 
