@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Intervals that are broadcast; more are joined by pattern and month.
-BROADCAST_INTERVALS = 200_000
+BROADCAST_INTERVALS = 20_000
 #: Captures of one pattern from which it is dealt out, and to how many parts.
 HOT_CAPTURES = 1_000_000
 SALTS = 64
