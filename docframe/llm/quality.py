@@ -26,11 +26,13 @@ COMMON = 1 << 18
 #: Trusted ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Characters whose grams are counted at once.
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 19
 #: Distinct characters at once, so that a gram of ORDER of them is a 64-bit number.
 SYMBOLS = 1 << (64 // ORDER)
 #: Distinct grams that a task holds before it sends counts on.
-GRAMS_HELD = 1 << 20
+GRAMS_HELD = 1 << 19
+#: Grams that a task sends on at once.
+GRAMS_SENT = 1 << 16
 PAD = ord(" ")
 UNKNOWN_LANG = ""
 
@@ -157,12 +159,12 @@ class _Counts:
         self.parts = [(distinct, points[first], *sums)]
         self.size = len(distinct)
 
-    def batch(self, lang: str) -> pa.RecordBatch:
+    def batches(self, lang: str) -> Iterator[pa.RecordBatch]:
         self.merge()
-        _, points, n_model, n = self.parts[0]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(n), pa.string()), _utf8(_strings(points)), pa.array(n_model), pa.array(n)], ["lang", "gram", "n_model", "n"]
-        )
+        for at in range(0, self.size, GRAMS_SENT):
+            _, points, n_model, n = (x[at : at + GRAMS_SENT] for x in self.parts[0])
+            names = pa.array([lang] * len(n), pa.string())
+            yield pa.RecordBatch.from_arrays([names, _utf8(_strings(points)), pa.array(n_model), pa.array(n)], ["lang", "gram", "n_model", "n"])
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +185,12 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if c.parts:
                     c.merge()
             if sum(c.size for c in held.values()) >= GRAMS_HELD // 2:
-                yield from (c.batch(lang) for lang, c in held.items() if c.parts)
-                held.clear()
-    yield from (c.batch(lang) for lang, c in held.items() if c.parts)
+                while held:
+                    lang, c = held.popitem()
+                    yield from c.batches(lang) if c.parts else ()
+    while held:
+        lang, c = held.popitem()
+        yield from c.batches(lang) if c.parts else ()
 
 
 def _discount(level: DataFrame) -> DataFrame:
