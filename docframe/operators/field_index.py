@@ -1,4 +1,4 @@
-"""An index of scalar columns: which rows have which values, as a table.
+"""An index of scalar columns: which rows have which values, as a table on disk.
 
 Queries do not use it, as Parquet statistics and pushed filters serve them; it is for look-ups by value and
 for keeping such look-ups current row by row.
@@ -6,13 +6,16 @@ for keeping such look-ups current row by row.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions.values import DICT, LIST, NUMBERS, display, from_column
 from docframe.plans.binder import quoted
+from docframe.sources.snapshot import Versions
 
 SIGNS = ("=", "<", "<=", ">", ">=")
 
@@ -33,11 +36,27 @@ def field_values(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 class FieldIndex:
-    """Look-ups give tables of keys, which combine like sets."""
+    """Look-ups give tables of keys, which combine like sets.
 
-    def __init__(self, df: DataFrame, key: str, columns: Sequence[str]) -> None:
+    The values are written below `place` (a temporary folder, if none is given), sorted by field and value, so that a
+    look-up reads the parts that may hold its value. Each update writes a new version and renames the manifest, so that
+    neither plans nor look-ups grow with the number of updates. place: a folder; an index found there is taken as it is.
+    """
+
+    def __init__(self, df: DataFrame, key: str, columns: Sequence[str], place: str | Path | None = None) -> None:
         self.key, self.columns = key, list(columns)
-        self.values = field_values(df, key, columns)
+        self._own = None if place else tempfile.TemporaryDirectory(prefix="docframe-")
+        self.versions = Versions(df.sparkSession, place or self._own.name)
+        if not self.versions.manifest():
+            self._write(field_values(df, key, columns))
+
+    def _write(self, values: DataFrame) -> None:
+        ordered = values.repartitionByRange("field", "text").sortWithinPartitions("field", "text")
+        self.versions.replace(lambda target: ordered.write.parquet(target))
+
+    @property
+    def values(self) -> DataFrame:
+        return self.versions.read()
 
     def compare(self, field: str, sign: str, value: object) -> DataFrame:
         """Keys of rows whose value stands so to the given one: numbers as numbers, others as texts."""
@@ -68,11 +87,14 @@ class FieldIndex:
     def either(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.union(right).distinct()
 
+    def _without(self, keys: DataFrame) -> DataFrame:
+        return self.values.join(keys.select("key").distinct(), "key", "left_anti").select("field", "text", "number", "key")
+
     def invalidate(self, keys: DataFrame) -> None:
         """Removes rows; keys: a table with the column key."""
-        self.values = self.values.join(keys.select("key").distinct(), "key", "left_anti").select("field", "text", "number", "key")
+        self._write(self._without(keys))
 
     def update(self, df: DataFrame) -> None:
         """Takes new or changed rows in."""
-        self.invalidate(df.select(F.col(quoted(self.key)).alias("key")))
-        self.values = self.values.union(field_values(df, self.key, self.columns))
+        kept = self._without(df.select(F.col(quoted(self.key)).alias("key")))
+        self._write(kept.union(field_values(df, self.key, self.columns)))

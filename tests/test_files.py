@@ -52,3 +52,45 @@ def test_search_over_an_index(spark, tmp_path):
     ranked = [r["key"] for r in search(df, "red blue", "path", ["t"]).collect()]
     assert ranked == [r["key"] for r in search_index(index, "red blue", "t").collect()] == ["a", "b"]
     assert search_index(index, "!").count() == 0 and search_index(index, "nosuch").count() == 0
+
+
+def test_index_on_disk_follows_its_rows(spark, tmp_path):
+    from docframe.operators.search import SearchIndex
+
+    rows = [("a", "red red blue"), ("b", "blue"), ("c", "green")]
+    df = spark.createDataFrame(rows, "path string, t string")
+    index = SearchIndex(spark, tmp_path / "i")
+    index.rebuild(df, "path", ["t"])
+    found = lambda q: {r["key"] for r in index.search(q, limit=None).collect()}
+    assert found("red") == {"a"} and found("blue") == {"a", "b"}
+    changed = spark.createDataFrame([("b", "red"), ("d", "blue")], "path string, t string")
+    index.update(changed, "path", ["t"], spark.createDataFrame([("c",)], "key string"))
+    assert found("red") == {"a", "b"} and found("blue") == {"a", "d"} and found("green") == set()
+    now = spark.createDataFrame([("a", "red red blue"), ("b", "red"), ("d", "blue")], "path string, t string")
+    score = lambda d: {r["key"]: round(r["score"], 9) for r in d.collect()}
+    assert score(index.search("red blue")) == score(search(now, "red blue", "path", ["t"]))
+    plan = index.search("red", limit=None)._jdf.queryExecution().toString()
+    assert "In(term, [red])" in plan or "EqualTo(term,red)" in plan
+    assert "Sort" not in plan and "CollectLimit" not in plan
+
+
+def test_terms_of_a_long_document_are_counted_in_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(60_000)))], "path string, t string")
+    began = time.perf_counter()
+    assert build_index(df, "path", ["t"]).count() == 60_000
+    assert time.perf_counter() - began < 20
+
+
+def test_value_index_does_not_grow_with_updates(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), i) for i in range(50)], "path string, n int")
+    index = docframe.FieldIndex(df, "path", ["n"], tmp_path / "i")
+    for k in range(4):
+        index.update(spark.createDataFrame([("7", 1000 + k)], "path string, n int"))
+    assert [r["key"] for r in index.compare("n", ">=", 1000).collect()] == ["7"] and index.values.count() == 50
+    assert "Join" not in index.compare("n", "=", 3)._jdf.queryExecution().toString()
+    again = docframe.FieldIndex(df, "path", ["n"], tmp_path / "i")
+    assert [r["key"] for r in again.compare("n", "=", 1003).collect()] == ["7"]
+    index.invalidate(spark.createDataFrame([("7",)], "key string"))
+    assert index.compare("n", ">", 900).count() == 0
