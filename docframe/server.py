@@ -107,8 +107,6 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             self.send_response(status)
             self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(body)))
-            self.send_header("Access-Control-Allow-Origin", "*")
-            self.send_header("Access-Control-Allow-Headers", "Content-Type")
             self.end_headers()
             self.wfile.write(body)
 
@@ -119,8 +117,10 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
                 status, out = 400, {"error": str(e)}
             self._send(status, json.dumps(out, default=display_text).encode(), "application/json")
 
-        def do_OPTIONS(self) -> None:
-            self._send(204, b"", "text/plain")
+        def _foreign(self) -> bool:
+            """Whether a page of another origin sends this; such pages may not write."""
+            origin = self.headers.get("Origin")
+            return origin is not None and urlparse(origin).netloc != self.headers.get("Host")
 
         def do_GET(self) -> None:
             path = unquote(urlparse(self.path).path)
@@ -137,7 +137,9 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
 
         def do_POST(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            if self.path == "/api/query":
+            if self._foreign():
+                self._send(403, b'{"error": "another origin"}', "application/json")
+            elif self.path == "/api/query":
                 self._json(lambda: service.query(json.loads(body or b"{}")))
             elif self.path == "/api/reload":
                 self._json(service.reload)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import threading
@@ -44,24 +45,48 @@ def _changes(before: dict[str, str], after: dict[str, str]) -> Iterator[tuple[st
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    """Offsets are listings, so that edits and deletions are seen, and a batch can be read again."""
+    """An offset is the number of a set of changes, so that it is as small for a million files as for one.
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    Next to the numbered sets, in the log's folder, is the listing that the last of them led to. A batch is read again
+    from its sets; those of committed batches are removed.
+    """
+
+    def __init__(self, root: str, log: str) -> None:
+        self.root, self.log = root, Path(log)
+
+    def _write(self, name: str, value: object) -> None:
+        fresh = self.log / f"{name}.new"
+        fresh.write_text(json.dumps(value))
+        os.replace(fresh, self.log / name)
 
     def initialOffset(self) -> dict:
-        return {"files": folder_listing(self.root)}
+        self.log.mkdir(parents=True, exist_ok=True)
+        self._write("listing.json", folder_listing(self.root))
+        return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         now = folder_listing(self.root)
-        return iter(list(_changes(start["files"], now))), {"files": now}
+        found = list(_changes(json.loads((self.log / "listing.json").read_text()), now))
+        if not found:
+            return iter(()), start
+        self._write(f"{start['n'] + 1}.json", found)
+        self._write("listing.json", now)
+        return iter(found), {"n": start["n"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(_changes(start["files"], end["files"])))
+        return iter([tuple(c) for n in range(start["n"] + 1, end["n"] + 1) for c in json.loads((self.log / f"{n}.json").read_text())])
+
+    def commit(self, end: dict) -> None:
+        for path in self.log.glob("[0-9]*.json"):
+            if int(path.stem) <= end["n"]:
+                path.unlink(missing_ok=True)
 
 
 class FolderChanges(DataSource):
-    """spark.readStream.format("folder_changes").load(root): rows (path, change)."""
+    """spark.readStream.format("folder_changes").load(root): rows (path, change).
+
+    Option log: a folder for what the stream must remember between batches; a restarted stream goes on from it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -71,7 +96,7 @@ class FolderChanges(DataSource):
         return "path string, change string"
 
     def simpleStreamReader(self, schema: object) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("log") or tempfile.mkdtemp(prefix="docframe-log-"))
 
 
 class Watcher:
@@ -100,7 +125,8 @@ class Watcher:
     def start(self) -> Watcher:
         spark = self.database.spark
         spark.dataSource.register(FolderChanges)
-        changes = spark.readStream.format("folder_changes").load(str(self.database.path.absolute()))
+        self._log = tempfile.TemporaryDirectory(prefix="docframe-log-")
+        changes = spark.readStream.format("folder_changes").option("log", self._log.name).load(str(self.database.path.absolute()))
         place = f"{_scratch(spark)}/watch-{uuid.uuid4().hex}"
         self._query = changes.writeStream.trigger(processingTime=self.interval).option("checkpointLocation", place).foreachBatch(self._check).start()
         return self
@@ -117,8 +143,10 @@ class Watcher:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared checkpoint folder; in a session without one, a temporary folder."""
+    """The shared checkpoint folder; in a local session without one, a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise DocframeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or Path(tempfile.mkdtemp(prefix="docframe-")).as_uri()).rstrip("/")
 
 

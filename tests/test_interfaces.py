@@ -77,6 +77,12 @@ def test_web(spark, shop):
     assert json.loads(call("/api/query", {"sql": "SELECT path FROM tags", "format": "csv"})[1])["output"].startswith("path")
     assert json.loads(call("/api/reload", {})[1])["errors"] == 2 and len(json.loads(call("/api/fk-errors")[1])["errors"]) == 2
     assert "<!doctype html>" in call("/anything")[1]
+    elsewhere = urllib.request.Request(root + "/api/query", b'{"sql": "DELETE FROM tags"}', {"Origin": "http://elsewhere.example"})
+    with pytest.raises(urllib.error.HTTPError, match="403"):
+        urllib.request.urlopen(elsewhere)
+    own = urllib.request.Request(root + "/api/query", b'{"sql": "SELECT COUNT(*) n FROM tags"}', {"Origin": root})
+    with urllib.request.urlopen(own) as r:
+        assert json.loads(r.read())["rows"] == [{"n": 2}] and r.headers["Access-Control-Allow-Origin"] is None
     server.shutdown()
 
 
@@ -105,3 +111,24 @@ def test_watcher_sees_edits_and_deletions(spark, shop):
         assert {p.file_path for p in found} == {"orders/first.md"}
     finally:
         watcher.stop()
+
+
+def test_change_stream_remembers_by_number(tmp_path):
+    from docframe.streaming.watch import _Reader
+
+    root, log = tmp_path / "r", tmp_path / "l"
+    root.mkdir()
+    (root / "a.md").write_text("a")
+    reader = _Reader(str(root), str(log))
+    start = reader.initialOffset()
+    assert start == {"n": 0} and reader.read(start)[1] == start
+    (root / "b.md").write_text("b")
+    rows, one = reader.read(start)
+    assert list(rows) == [("b.md", "create")] and one == {"n": 1}
+    (root / "a.md").unlink()
+    again = _Reader(str(root), str(log))  # as after a restart
+    rows, two = again.read(one)
+    assert list(rows) == [("a.md", "remove")] and two == {"n": 2}
+    assert list(again.readBetweenOffsets(start, two)) == [("b.md", "create"), ("a.md", "remove")]
+    again.commit(one)
+    assert list(again.readBetweenOffsets(one, two)) == [("a.md", "remove")] and not (log / "1.json").exists()
