@@ -43,8 +43,11 @@ def _text(*parts: str | Column) -> Column:
 
 
 def _order_files(spark: SparkSession, sf_dir: str, defects: bool) -> DataFrame:
-    """Orders as documents; with defects, each key modulo 10 breaks its document in its own way."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Orders as documents; with defects, each key modulo 10 breaks its document in its own way.
+
+    A small Parquet file is one task, however long its documents take to parse: they are dealt out first.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)
     kind = F.col("o_orderkey") % 10
 
     def broken(k: int, good: Column, bad: str) -> Column:
@@ -163,7 +166,7 @@ def stream_fk_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search(query: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        found = search(docs, query, "doc_id", ["text"], limit=(1 << 31) - 1)
+        found = search(docs, query, "doc_id", ["text"], limit=None)
         return found.select(F.col("key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
 
     return run

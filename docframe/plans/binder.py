@@ -68,6 +68,13 @@ class Scope:
     ready: dict[t.Node, Typed] = field(default_factory=dict)
     star: Callable[[], list[str]] | None = None
 
+    def row_order(self) -> Column:
+        """What gives the order of rows: the table's key, or else, and where rows of a join share it, all columns."""
+        if self.key and not self.joined:
+            return F.col(self.key)
+        columns = [F.col(f.internal) if _orderable(f.data_type) else F.to_json(F.col(f.internal)) for f in self.fields]
+        return F.struct(*([F.col(self.key)] if self.key else []), *columns)
+
     def find(self, name: str) -> Field | None:
         """The field that a name stands for, or None."""
         qualified = [f for f in self.fields if f.qualifier and f"{f.qualifier}.{f.name}" == name]
@@ -92,6 +99,14 @@ class Scope:
         return None
 
 
+def _orderable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.StructType):
+        return all(_orderable(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return _orderable(data_type.elementType)
+    return not isinstance(data_type, T.MapType | T.VariantType)
+
+
 def _part(base: Field, path: str) -> Typed | None:
     column, data_type = F.col(base.internal), base.data_type
     if isinstance(data_type, T.MapType):
@@ -231,8 +246,7 @@ class Binder:
             found = self.value(node, scope)
             if found.kind == v.NULL:
                 return
-            # the first row by the table's key; without a key, of any row
-            wanted[node] = replace(found, column=F.min_by(found.column, F.col(scope.key)) if scope.key else F.first(found.column))
+            wanted[node] = replace(found, column=F.min_by(found.column, scope.row_order()))
         else:
             for child in node.children():
                 self._collect(child, keys, scope, wanted)

@@ -40,15 +40,27 @@ def _user_types(spark: SparkSession, sf_dir: str) -> Table:
     return Table(events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types")), "user_id")
 
 
-DERIVED: dict[str, Callable[[SparkSession, str], Table]] = {"event_dicts": _event_dicts, "user_types": _user_types}
+def _slot_types(spark: SparkSession, sf_dir: str) -> Table:
+    """A list column with few kinds: the sorted kinds of events of each user in each minute."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    held = events.groupBy("user_id", slot.alias("slot")).agg(F.min("event_id").alias("first"), F.sort_array(F.collect_set("event_type")).alias("types"))
+    return Table(held.select("first", "user_id", "types"), "first")
+
+
+DERIVED: dict[str, Callable[[SparkSession, str], Table]] = {"event_dicts": _event_dicts, "user_types": _user_types, "slot_types": _slot_types}
 
 #: Views by name: statements of the dialect, in order of definition.
 VIEWS = {
+    "named_columns": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "big_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000",
     "named_orders": "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
     "biggest_orders": "SELECT o_orderkey, o_totalprice FROM big_orders WHERE o_totalprice > 450000",
 }
 
+#: Names that views give to the columns of their statements.
+VIEW_COLUMNS = {"named_columns": ("k", "who", "price")}
+
 #: name: (statement of the dialect, DuckDB SQL)
 STATEMENTS: dict[str, tuple[str, str]] = {
     "prj_star_region": ("SELECT * FROM region", "SELECT * FROM region"),
@@ -129,7 +141,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey FROM part WHERE p_size IN (1, 7, 49) AND p_type IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'LARGE', 'MEDIUM')",
     ),
     "prd_in_float_on_int": ("SELECT p_partkey FROM part WHERE p_size IN (5.0)", "SELECT p_partkey FROM part WHERE false"),
-    "prd_like_ci": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%A_T%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_T%'"),
+    "prd_like_ci": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%D_W%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%D_W%'"),
     "prd_not_like": ("SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'BRAND#1%'", "SELECT p_partkey FROM part WHERE p_brand NOT ILIKE 'BRAND#1%'"),
     "prd_like_number": ("SELECT p_partkey FROM part WHERE p_size LIKE '1_'", "SELECT p_partkey FROM part WHERE p_size::VARCHAR LIKE '1_'"),
     "prd_like_newline": ("SELECT doc_id FROM documents WHERE text LIKE '%the%license%'", "SELECT doc_id FROM documents WHERE text ILIKE '%the%license%'"),
@@ -150,12 +162,12 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type IN ('click', 'purchase'))",
     ),
     "prd_list_like": (
-        "SELECT user_id FROM user_types WHERE types LIKE 'P%' AND types NOT LIKE '%view%'",
-        "SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type ILIKE 'P%') AND NOT bool_or(event_type ILIKE '%view%')",
+        "SELECT first FROM slot_types WHERE types LIKE 'P%' AND types NOT LIKE '%view%'",
+        "SELECT min(event_id) AS first FROM events GROUP BY user_id, floor(epoch_us(ts) / 60000000) HAVING bool_or(event_type ILIKE 'P%') AND NOT bool_or(event_type ILIKE '%view%')",
     ),
     "prd_list_equals_text": (
-        "SELECT user_id, COUNT(*) AS n FROM user_types WHERE types = 'click, view' GROUP BY user_id",
-        "SELECT user_id, 1::BIGINT AS n FROM events GROUP BY user_id HAVING array_to_string(list_sort(list(DISTINCT event_type)), ', ') = 'click, view'",
+        "SELECT user_id, COUNT(*) AS n FROM slot_types WHERE types = 'click' GROUP BY user_id",
+        "SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events GROUP BY user_id, floor(epoch_us(ts) / 60000000) HAVING array_to_string(list_sort(list(DISTINCT event_type)), ', ') = 'click') GROUP BY user_id",
     ),
     "prd_mixed_string_compare": ("SELECT p_partkey FROM part WHERE p_size > '10'", "SELECT p_partkey FROM part WHERE p_size::VARCHAR > '10'"),
     "prd_float_string_compare": ("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity = '5'", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity = 5"),
@@ -232,8 +244,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "agg_having_alias": ("SELECT p_size, COUNT(*) AS n FROM part GROUP BY p_size HAVING n > 40", "SELECT p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY p_size HAVING count(*) > 40"),
     "agg_having_expr": (
-        "SELECT p_size, COUNT(*) AS n FROM part GROUP BY p_size HAVING COUNT(*) > 30 AND MAX(p_retailprice) > 1500",
-        "SELECT p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY p_size HAVING count(*) > 30 AND max(p_retailprice) > 1500",
+        "SELECT p_size, COUNT(*) AS n FROM part GROUP BY p_size HAVING COUNT(*) > 30 AND MAX(p_retailprice) > 997",
+        "SELECT p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY p_size HAVING count(*) > 30 AND max(p_retailprice) > 997",
     ),
     "having_no_group": ("SELECT p_partkey FROM part HAVING p_size = 7", "SELECT p_partkey FROM part WHERE p_size = 7"),
     "agg_group_alias": (
@@ -277,6 +289,19 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT o_custkey, sum(o_totalprice) / count(*) AS mean, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 8",
     ),
     "srt_ordinal_is_constant": ("SELECT p_partkey FROM part ORDER BY 1 DESC LIMIT 5", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 5"),
+    "join_where_after": (
+        "SELECT o.o_orderkey AS k, c.c_name AS c FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_totalprice > 300000 OR c.c_acctbal < -900",
+        "SELECT o_orderkey AS k, c_name AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 300000 OR c_acctbal < -900",
+    ),
+    "sub_join_beside": (
+        "SELECT t.n AS n, c.c_name AS name FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) t JOIN customer c ON t.k = c.c_custkey WHERE t.n > 5",
+        "SELECT n, c_name AS name FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) JOIN customer ON k = c_custkey WHERE n > 5",
+    ),
+    "agg_first_row_of_join": (
+        "SELECT n.n_name AS nation, c.c_name, COUNT(*) AS k FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
+        'SELECT n_name AS nation, arg_min(c_name, c_custkey) AS "c.c_name", count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name',
+    ),
+    "view_columns": ("SELECT k, price FROM named_columns WHERE price > 450000", "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_totalprice > 450000"),
     "lim_zero": ("SELECT p_partkey FROM part LIMIT 0", "SELECT p_partkey FROM part LIMIT 0"),
     "sub_derived": (
         "SELECT k FROM (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F') WHERE p > 300000",
@@ -312,7 +337,10 @@ def _view_tables(spark: SparkSession, sf_dir: str) -> Callable[[str], Table]:
     base = tables(spark, sf_dir)
 
     def resolve(name: str) -> Table:
-        return Table(Binder(resolve).select(parse(VIEWS[name]))) if name in VIEWS else base(name)
+        if name not in VIEWS:
+            return base(name)
+        df = Binder(resolve).select(parse(VIEWS[name]))
+        return Table(df.toDF(*VIEW_COLUMNS[name]) if name in VIEW_COLUMNS else df)
 
     return resolve
 
