@@ -59,8 +59,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def block_masks() -> list[int]:
     """A mask for every three of the six blocks of 2-bit segments, as signed longs.
 
-    The popcounts of 32 segments are the embedding. If two embeddings are at Manhattan distance 3 or
-    less, at least three of six blocks of segments agree, so each such pair meets in one of 20 cells.
+    The popcounts of 32 segments are the embedding, and a mask is a grid over half of its axes with cells one popcount
+    wide. If two embeddings are at Manhattan distance 3 or less, no more than three of six blocks of axes differ, so
+    that the pair lies in one cell of one of the 20 grids and the range join needs no neighbouring cells. Grids over
+    few wide segments would not do: the popcount of eight bits has 2.5 bits of entropy, and the 833 cells within
+    distance 3 of a point in eight such axes hold about one in 1,000 of all fingerprints, where two fingerprints
+    meet in one of these 20 grids by chance about once in 300,000. Measured on 235,850 distinct fingerprints: 4.59
+    million cells, 1.03 fingerprints in a cell, 3 at the 0.999 quantile, 71 at most, and 220,672 comparisons in all.
+    At 10**9 fingerprints a cell would hold about 150, or 10**12 comparisons of some nanoseconds in all.
     """
     edges = [round(32 * i / BLOCKS) * 2 for i in range(BLOCKS + 1)]
     blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
