@@ -16,7 +16,7 @@ ORDER = 5
 #: Trusted documents to keep below the threshold, for each language and class of length.
 QUANTILE = 0.99
 #: Above that quantile, as a factor on the bits a character.
-SLACK = 1.0
+SLACK = 1.02
 #: Held-out trusted documents that a class of length needs for a threshold of its own.
 CLASS_LEAST = 50
 #: Deviations above the mean, where a language has too few held-out trusted documents for the quantile.
