@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 from conftest import DATA
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
@@ -195,7 +196,15 @@ def test_stages_on_odd_documents(spark, tmp_path):
     assert seen[1] >= set(range(100, 110)) and not seen[1] & (set(range(10)) - {5} | {5})
     # a word of 300 changed: the near copies of 10 to 19 go, and nothing else does
     assert seen[1] - seen[2] == set(range(210, 220))
+    # the mixture by hand: each row as often as the hash of its id says
+    kept = spark.read.parquet(str(tmp_path / "s2"))
+    rates = source_rates(kept, queries.MIX_WEIGHTS, "source", keep_other=True)
+    want = {r["doc_id"]: _count("mix", r["doc_id"], rates[r["source"]]) for r in kept.collect()}
+    assert Counter(r["doc_id"] for r in docs.collect()) == {k: n for k, n in want.items() if n}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(root))
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    tokens = sum(len(plain.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert sum(r["length"] for r in packed.collect()) == tokens
     assert {r["doc_id"] for r in packed.collect()} == seen[3] <= seen[2]
 
 
