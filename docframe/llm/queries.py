@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,8 +14,8 @@ from docframe.llm.exact_dedup import exact_dedup
 from docframe.llm.langid import fit_dictionaries, identify_language
 from docframe.llm.mixing import mix_sources
 from docframe.llm.packing import pack_documents
-from docframe.llm.quality import quality_scores
-from docframe.llm.secrets import find_secrets, secret_digest
+from docframe.llm.quality import CLASS_LEAST, FEW_DEVIATIONS, ORDER, QUANTILE, SLACK, quality_scores
+from docframe.llm.secrets import BASE, EXTRA, find_secrets, secret_digest
 from docframe.llm.simhash import simhash_groups
 from docframe.llm.storage import finished, scratch
 from docframe.llm.toxicity import fit_toxicity, score_toxicity
@@ -34,6 +35,39 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, "op1", lambda: secret_digest(find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])))
 
 
+def _op1_sql() -> str:
+    """Each rule's matches and what stands between them give the places of the matches."""
+    parts = []
+    for rank, r in enumerate(BASE + EXTRA):
+        # RE2 has no look-behind: the character before a match is matched too, and not counted
+        before, pattern = re.fullmatch(r"(\(\?<!\[.*?\]\))?(.*)", r.pattern).groups()
+        quoted = pattern.replace("'", "''")
+        whole = f"(?:^|[^{before[5:-2]}])({quoted})" if before else f"({quoted})"
+        group = r.group + 1 if r.group else 1
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, regexp_extract_all(text, '{whole}') AS found, "
+            f"regexp_extract_all(text, '{whole}', 1) AS own, regexp_extract_all(text, '{whole}', {group}) AS part, string_split_regex(text, '{whole}') AS rest FROM docs"
+        )
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({' UNION ALL '.join(parts)}),
+places AS (
+  SELECT *, list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)
+            + length(found[i]) - length(own[i]) AS s
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matches WHERE len(found) > 0)),
+spans AS (
+  SELECT doc_id, kind, rank, s::BIGINT AS s, kind || ':' || s::BIGINT || ':' || (s + length(own[i]))::BIGINT AS span FROM places WHERE length(part[i]) >= least),
+digests AS (
+  SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY s, rank) FILTER (WHERE kind IN ({base})) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN digests USING (doc_id)
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lambda: exact_dedup(_table(spark, sf_dir, "documents"))
     return finished(spark, "op2", lambda: found().select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
@@ -56,7 +90,47 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return finished(spark, "op5", lambda: quality_scores(_table(spark, sf_dir, "documents"), trusted))
+    found = lambda: quality_scores(_table(spark, sf_dir, "documents"), trusted)
+    # sums of doubles differ in their last digits with the order of adding
+    rounded = [F.round(c, 6).alias(c) for c in ("perplexity", "threshold")]
+    return finished(spark, "op5", lambda: found().select("doc_id", "lang", *rounded, "kept"))
+
+
+def _op5_sql() -> str:
+    """The model level by level, as it is defined: counts, discounts, contexts, probabilities."""
+    levels = [f"t{ORDER} AS MATERIALIZED (SELECT lang, g, count(*) FILTER (WHERE learn) AS c FROM grams GROUP BY ALL)"]
+    levels += [f"t{k} AS MATERIALIZED (SELECT lang, substr(g, 2) AS g, count(*) FILTER (WHERE c > 0) AS c FROM t{k + 1} GROUP BY ALL)" for k in range(ORDER - 1, 0, -1)]
+    levels += ["p0 AS MATERIALIZED (SELECT lang, '' AS g, 1.0 / (count(*) FILTER (WHERE c > 0) + 1) AS p FROM t1 GROUP BY lang)"]
+    for k in range(1, ORDER + 1):
+        n = ", ".join(f"greatest(count(*) FILTER (WHERE c = {j}), 1)::DOUBLE AS n{j}" for j in (1, 2, 3, 4))
+        d = [f"least(greatest({j} - {j + 1} * n1 / (n1 + 2 * n2) * n{j + 1} / n{j}, {lo}), {hi}) AS d{j}" for j, lo, hi in ((1, 0.05, 0.95), (2, 0.1, 1.9), (3, 0.15, 2.85))]
+        levels += [
+            f"d{k} AS MATERIALIZED (SELECT lang, {', '.join(d)} FROM (SELECT lang, {n} FROM t{k} WHERE c > 0 GROUP BY lang))",
+            f"u{k} AS MATERIALIZED (SELECT t.lang, g, substr(g, 1, {k - 1}) AS h, c::DOUBLE AS c, CASE WHEN c >= 3 THEN d3 WHEN c = 2 THEN d2 WHEN c = 1 THEN d1 ELSE 0 END AS d FROM t{k} t LEFT JOIN d{k} USING (lang))",
+            f"h{k} AS MATERIALIZED (SELECT lang, h, sum(c) AS total, sum(d) AS freed FROM u{k} GROUP BY ALL)",
+            f"p{k} AS MATERIALIZED (SELECT u.lang, u.g, CASE WHEN total > 0 THEN (c - d) / total + freed / total * p ELSE p END AS p FROM u{k} u JOIN h{k} USING (lang, h) JOIN p{k - 1} b ON b.lang = u.lang AND b.g = substr(u.g, 2))",
+        ]
+    before = [f"coalesce(lag(c, {k}) OVER w, ' ')" for k in range(ORDER - 1, 0, -1)]
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS trusted,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS held_out FROM documents),
+chars AS MATERIALIZED (SELECT doc_id, lang, trusted AND NOT held_out AS learn, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM docs WHERE text <> ''),
+grams AS MATERIALIZED (SELECT doc_id, lang, learn, {' || '.join(before)} || c AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+{', '.join(levels)},
+learned AS MATERIALIZED (SELECT lang FROM t{ORDER} GROUP BY lang HAVING max(c) > 0),
+scored AS MATERIALIZED (
+  SELECT doc_id, d.lang, trusted, held_out, length(text) AS n, floor(log2(greatest(length(text), 1)))::INTEGER AS class, b.bits
+  FROM docs d LEFT JOIN (SELECT doc_id, avg(-log2(p)) AS bits FROM grams JOIN p{ORDER} USING (lang, g) WHERE lang IN (FROM learned) GROUP BY doc_id) b USING (doc_id)),
+held AS MATERIALIZED (SELECT * FROM scored WHERE trusted AND held_out AND bits IS NOT NULL),
+by_lang AS MATERIALIZED (
+  SELECT lang, CASE WHEN count(*) * (1 - {QUANTILE}) < 1 THEN greatest(quantile_disc(bits, {QUANTILE}), avg(bits) + {FEW_DEVIATIONS} * coalesce(stddev_samp(bits), 0.1 * avg(bits)))
+               ELSE quantile_disc(bits, {QUANTILE}) END AS of_lang FROM held GROUP BY lang),
+by_class AS MATERIALIZED (SELECT lang, class, quantile_disc(bits, {QUANTILE}) AS of_class FROM held GROUP BY ALL HAVING count(*) >= {CLASS_LEAST}),
+limits AS (SELECT s.*, coalesce(of_class, of_lang) * {SLACK} AS most FROM scored s LEFT JOIN by_lang USING (lang) LEFT JOIN by_class USING (lang, class))
+SELECT doc_id, nullif(lang, '') AS lang, round(2 ** bits, 6) AS perplexity, round(2 ** most, 6) AS threshold,
+       CASE WHEN n = 0 THEN false WHEN bits IS NULL OR most IS NULL THEN true ELSE bits <= most END AS kept FROM limits
+"""
 
 
 def _fold_number(modulus: int):
@@ -74,6 +148,16 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, "op7", lambda: embedding_groups(_table(spark, sf_dir, "embeddings")))
 
 
+OP7_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a, vectors b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, (SELECT min(b) FROM reached r WHERE r.a = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(b) FROM reached r WHERE r.a = e.vec_id) AS kept
+FROM embeddings e
+"""
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a fetch time by rule: one a second, in a scattered order over 180 days."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -204,4 +288,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": mix_sql("documents", MIX_WEIGHTS)}
+    return {
+        "op1_secret_scan": _op1_sql(),
+        "op2_exact_dedup": OP2_SQL,
+        "op5_quality": _op5_sql(),
+        "op7_embeddings": OP7_SQL,
+        "op8_url_filter": OP8_SQL,
+        "op9_mixing": mix_sql("documents", MIX_WEIGHTS),
+    }
