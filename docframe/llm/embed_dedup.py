@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.components import components
+from docframe.llm.memory import released
 from docframe.llm.storage import stored
 
 COSINE = 0.95
@@ -376,7 +377,7 @@ def embedding_groups(
     wide = stored(counts.where(F.col("n") > block).select("dims", "leaf", F.ceil(F.col("n") / block).cast("int").alias("parts")), "wide-leaves")
     parts = F.coalesce("parts", F.lit(1))
     members = (
-        _either(travelling.mapInArrow(_router(forests), "dims int, leaf long, node long, blob binary"), wide, ["dims", "leaf"], "left")
+        _either(travelling.mapInArrow(released(_router(forests)), "dims int, leaf long, node long, blob binary"), wide, ["dims", "leaf"], "left")
         .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("dims", "leaf", "node", "blob", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docframe.llm.memory import released
+
 #: Bytes of sampled text in a dictionary, and characters of one text in it at most.
 DICTIONARY_BYTES = 192 << 10
 TEXT_BYTES = 8 << 10
@@ -122,4 +124,4 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predictor(held, margin), "doc_id long, lang_pred string, score double, margin double, accepted boolean")
+    return rows.mapInArrow(released(_predictor(held, margin)), "doc_id long, lang_pred string, score double, margin double, accepted boolean")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docframe.llm.memory import released
 from docframe.llm.storage import stored
 
 SEQUENCE = 2048
@@ -96,6 +97,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches; the next task has other words, but for those that are quick to find again."""
+        self.runs, self.older_runs, self.words, self.older_words = {}, {}, {}, {}
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
@@ -208,6 +213,7 @@ def _cutter(path: str, sequence: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 [b["doc_id"].take(pa.array(row, pa.int64())), *map(pa.array, columns)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        word_encoder(path).forget()
 
     return cut
 
@@ -215,7 +221,7 @@ def _cutter(path: str, sequence: int) -> Callable[[Iterator[pa.RecordBatch]], It
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32), without a shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer_path, sequence), "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(_cutter(tokenizer_path, sequence)), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 @dataclass

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.memory import released
 from docframe.llm.storage import stored
 
 #: Characters of a gram.
@@ -26,11 +27,11 @@ COMMON = 1 << 18
 #: Trusted ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Characters whose grams are counted at once.
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 18
 #: Distinct characters at once, so that a gram of ORDER of them is a 64-bit number.
 SYMBOLS = 1 << (64 // ORDER)
 #: Distinct grams that a task holds before it sends counts on.
-GRAMS_HELD = 1 << 19
+GRAMS_HELD = 1 << 18
 #: Grams that a task sends on at once.
 GRAMS_SENT = 1 << 16
 PAD = ord(" ")
@@ -355,16 +356,16 @@ def quality_scores(
         )
         .join(ids, "doc_id", "left")
         .withColumn("trusted", F.coalesce("is_trusted", F.lit(False)))
-        .withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+        .withColumn("held_out", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 5 == 0, F.lit(False)))
     )
-    counted = rows.select("lang", "text", (F.col("trusted") & ~F.col("held_out")).alias("learn")).mapInArrow(_counter, "lang string, gram string, n_model long, n long")
+    counted = rows.select("lang", "text", (F.col("trusted") & ~F.col("held_out")).alias("learn")).mapInArrow(released(_counter), "lang string, gram string, n_model long, n long")
     grams = stored(counted.groupBy("lang", "gram").agg(F.sum("n_model").alias("n_model"), F.sum("n").alias("n")), "grams")
     learned = grams.groupBy("lang").agg(F.max(F.col("n_model") > 0).alias("learned"))
     scores = stored(gram_bits(grams), "gram-bits")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = ["doc_id", "lang", "trusted", "held_out", *more]
     out = ", ".join(f"{c} {kinds[c]}" for c in names) + ", length long, common_bits double, rare array<string>, times array<int>"
-    partly = rows.select("text", *names).mapInArrow(_scorer(_common(grams, scores)), out)
+    partly = rows.select("text", *names).mapInArrow(released(_scorer(_common(grams, scores))), out)
     partly = stored(partly.withColumn("row", F.monotonically_increasing_id()), "partly-scored")
     rare = partly.where("size(rare) > 0").select("row", "lang", F.explode(F.arrays_zip("rare", "times")).alias("g"))
     tail = (

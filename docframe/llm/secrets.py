@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.memory import released
 from docframe.llm.storage import exists, move, new_path, remove, stored
 
 
@@ -27,10 +28,10 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 #: Further kinds, by the public formats of these credentials.
-PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0d\x20]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
 #: A token begins where no token character stands before it, so that each run of them is tried once.
 JWT = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
-URL_LOGIN = r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"
+URL_LOGIN = r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{3,64}@"
 
 
 @dataclass(frozen=True)
@@ -138,7 +139,7 @@ class BlobLedger:
         version = rules_version(rules)
         blobs = self._unseen(texts.select(F.sha2("text", 256).alias("sha"), "text"), version)
         once = blobs.groupBy("sha", "text").agg(F.count(F.lit(1)))
-        once.select("sha", "text").mapInArrow(_scanner(rules, version), FINDINGS).write.mode("append").parquet(self.path)
+        once.select("sha", "text").mapInArrow(released(_scanner(rules, version)), FINDINGS).write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
         return self._once(self.table().where(F.col("rule_version") == rules_version(rules)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.components import components
+from docframe.llm.memory import released
 from docframe.llm.storage import stored
 
 SHINGLE = 3
@@ -53,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp): fp is the fingerprint's bits as a signed long. A null text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(released(_fingerprints), "doc_id long, fp long")
 
 
 def block_masks() -> list[int]:

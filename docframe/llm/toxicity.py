@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.memory import released
 from docframe.llm.storage import stored
 
 #: Labelled rows from which lexicon, exceptions and calibration are learned, at most, by hash of the id.
@@ -242,4 +243,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     an empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scorer(json.dumps(model.__dict__), threshold), "doc_id long, score double, predicted int")
+    return rows.mapInArrow(released(_scorer(json.dumps(model.__dict__), threshold)), "doc_id long, score double, predicted int")
