@@ -94,3 +94,14 @@ def test_value_index_does_not_grow_with_updates(spark, tmp_path):
     assert [r["key"] for r in again.compare("n", "=", 1003).collect()] == ["7"]
     index.invalidate(spark.createDataFrame([("7",)], "key string"))
     assert index.compare("n", ">", 900).count() == 0
+
+
+def test_table_search_follows_its_files(spark, shop, tmp_path):
+    table = docframe.Table(shop / "orders", spark, snapshot=tmp_path / "snap")
+    plain = docframe.Table(shop / "orders", spark)
+    assert table.search("two") == plain.search("two") == ["second.md"]
+    assert sorted(table.search("three code")) == sorted(plain.search("three code"))
+    table.update("third", {"Summary": "now two as well"})
+    table.delete("second")
+    assert table.search("two") == ["third.md"] and table.search("three") == []
+    assert table.search("go", "Go-Live Notes") == ["first.md"] and table.search("go", "nosuch") == []
