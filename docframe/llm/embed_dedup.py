@@ -45,6 +45,8 @@ ROUTED_AT_ONCE = 4096
 SINGLE = 2.0**-22
 #: Keys of repeated vectors, or of overfull leaves, that are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
+#: Pairs near the limit that are broadcast with a vector each; more are joined.
+BROADCAST_PAIRS = 50_000
 
 
 def usable(vector: Column) -> Column:
@@ -384,7 +386,10 @@ def embedding_groups(
     )
     found = stored(members.groupBy("dims", "leaf", "lo", "hi").applyInPandas(_compare(forests, cosine), "a long, b long, n long, sure boolean"), "links")
     vector_of = lambda c: nodes.select(F.col("node").alias(c), F.col("vector").alias(f"v{c}"), F.col("weight").alias(f"w{c}"))
-    doubtful = found.where("not sure").select("a", "b").join(vector_of("a"), "a").join(vector_of("b"), "b")
+    doubtful = stored(found.where("not sure").select("a", "b"), "doubtful-links")
+    # few pairs go to the vectors, not the vectors to them
+    few = F.broadcast if doubtful.count() <= BROADCAST_PAIRS else lambda df: df
+    doubtful = vector_of("b").join(few(vector_of("a").join(few(doubtful), "a")), "b")
     told = stored(doubtful.mapInArrow(_verifier(cosine), "a long, b long, wa long, wb long"), "told-links")
     edges = found.where("sure and a <> b").select("a", "b").union(told.select("a", "b"))
     total = (
