@@ -4,9 +4,11 @@ import datetime as dt
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql.classic.dataframe import DataFrame
@@ -35,49 +37,61 @@ def test_sql(spark, name):
     assert sorted(repr([r[c] for c in names]) for r in found.collect()) == sorted(repr(list(r)) for r in wanted.fetchall())
 
 
-def op5_sql() -> str:
-    """The model level by level, as it is defined: counts, discounts, contexts, probabilities."""
-    levels = [f"t{ORDER} AS MATERIALIZED (SELECT lang, g, count(*) FILTER (WHERE learn) AS c FROM grams GROUP BY ALL)"]
-    levels += [f"t{k} AS MATERIALIZED (SELECT lang, substr(g, 2) AS g, count(*) FILTER (WHERE c > 0) AS c FROM t{k + 1} GROUP BY ALL)" for k in range(ORDER - 1, 0, -1)]
-    levels += ["p0 AS MATERIALIZED (SELECT lang, '' AS g, 1.0 / (count(*) FILTER (WHERE c > 0) + 1) AS p FROM t1 GROUP BY lang)"]
+def op5_sql() -> tuple[list[str], str]:
+    """(steps, result): the model level by level, as it is defined: counts, discounts, contexts, probabilities."""
+    levels = [f"t{ORDER} AS (SELECT lang, g, count(*) FILTER (WHERE learn) AS c FROM grams GROUP BY ALL)"]
+    levels += [f"t{k} AS (SELECT lang, substr(g, 2) AS g, count(*) FILTER (WHERE c > 0) AS c FROM t{k + 1} GROUP BY ALL)" for k in range(ORDER - 1, 0, -1)]
+    levels += ["p0 AS (SELECT lang, '' AS g, 1.0 / (count(*) FILTER (WHERE c > 0) + 1) AS p FROM t1 GROUP BY lang)"]
     for k in range(1, ORDER + 1):
         n = ", ".join(f"greatest(count(*) FILTER (WHERE c = {j}), 1)::DOUBLE AS n{j}" for j in (1, 2, 3, 4))
         d = [f"least(greatest({j} - {j + 1} * n1 / (n1 + 2 * n2) * n{j + 1} / n{j}, {lo}), {hi}) AS d{j}" for j, lo, hi in ((1, 0.05, 0.95), (2, 0.1, 1.9), (3, 0.15, 2.85))]
         levels += [
-            f"d{k} AS MATERIALIZED (SELECT lang, {', '.join(d)} FROM (SELECT lang, {n} FROM t{k} WHERE c > 0 GROUP BY lang))",
-            f"u{k} AS MATERIALIZED (SELECT t.lang, g, substr(g, 1, {k - 1}) AS h, c::DOUBLE AS c, CASE WHEN c >= 3 THEN d3 WHEN c = 2 THEN d2 WHEN c = 1 THEN d1 ELSE 0 END AS d FROM t{k} t LEFT JOIN d{k} USING (lang))",
-            f"h{k} AS MATERIALIZED (SELECT lang, h, sum(c) AS total, sum(d) AS freed FROM u{k} GROUP BY ALL)",
-            f"p{k} AS MATERIALIZED (SELECT u.lang, u.g, CASE WHEN total > 0 THEN (c - d) / total + freed / total * p ELSE p END AS p FROM u{k} u JOIN h{k} USING (lang, h) JOIN p{k - 1} b ON b.lang = u.lang AND b.g = substr(u.g, 2))",
+            f"d{k} AS (SELECT lang, {', '.join(d)} FROM (SELECT lang, {n} FROM t{k} WHERE c > 0 GROUP BY lang))",
+            f"u{k} AS (SELECT t.lang, g, substr(g, 1, {k - 1}) AS h, c::DOUBLE AS c, CASE WHEN c >= 3 THEN d3 WHEN c = 2 THEN d2 WHEN c = 1 THEN d1 ELSE 0 END AS d FROM t{k} t LEFT JOIN d{k} USING (lang))",
+            f"h{k} AS (SELECT lang, h, sum(c) AS total, sum(d) AS freed FROM u{k} GROUP BY ALL)",
+            f"p{k} AS (SELECT u.lang, u.g, CASE WHEN total > 0 THEN (c - d) / total + freed / total * p ELSE p END AS p FROM u{k} u JOIN h{k} USING (lang, h) JOIN p{k - 1} b ON b.lang = u.lang AND b.g = substr(u.g, 2))",
         ]
-    before = [f"coalesce(lag(c, {k}) OVER w, ' ')" for k in range(ORDER - 1, 0, -1)]
-    return f"""
-WITH docs AS MATERIALIZED (
+    before = f"""
+docs AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS trusted,
          ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS held_out FROM documents),
-chars AS MATERIALIZED (SELECT doc_id, lang, trusted AND NOT held_out AS learn, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM docs WHERE text <> ''),
-grams AS MATERIALIZED (SELECT doc_id, lang, learn, {' || '.join(before)} || c AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-{', '.join(levels)},
-learned AS MATERIALIZED (SELECT lang FROM t{ORDER} GROUP BY lang HAVING max(c) > 0),
-scored AS MATERIALIZED (
+grams AS (SELECT doc_id, lang, trusted AND NOT held_out AS learn, g FROM cut JOIN docs USING (doc_id))
+"""
+    after = f"""
+learned AS (SELECT lang FROM t{ORDER} GROUP BY lang HAVING max(c) > 0),
+scored AS (
   SELECT doc_id, d.lang, trusted, held_out, length(text) AS n, floor(log2(greatest(length(text), 1)))::INTEGER AS class, b.bits
   FROM docs d LEFT JOIN (SELECT doc_id, avg(-log2(p)) AS bits FROM grams JOIN p{ORDER} USING (lang, g) WHERE lang IN (FROM learned) GROUP BY doc_id) b USING (doc_id)),
-held AS MATERIALIZED (SELECT * FROM scored WHERE trusted AND held_out AND bits IS NOT NULL),
-by_lang AS MATERIALIZED (
+held AS (SELECT * FROM scored WHERE trusted AND held_out AND bits IS NOT NULL),
+by_lang AS (
   SELECT lang, CASE WHEN count(*) * (1 - {QUANTILE}) < 1 THEN greatest(quantile_disc(bits, {QUANTILE}), avg(bits) + {FEW_DEVIATIONS} * coalesce(stddev_samp(bits), 0.1 * avg(bits)))
                ELSE quantile_disc(bits, {QUANTILE}) END AS of_lang FROM held GROUP BY lang),
-by_class AS MATERIALIZED (SELECT lang, class, quantile_disc(bits, {QUANTILE}) AS of_class FROM held GROUP BY ALL HAVING count(*) >= {CLASS_LEAST}),
+by_class AS (SELECT lang, class, quantile_disc(bits, {QUANTILE}) AS of_class FROM held GROUP BY ALL HAVING count(*) >= {CLASS_LEAST}),
 limits AS (SELECT s.*, coalesce(of_class, of_lang) * {SLACK} AS most FROM scored s LEFT JOIN by_lang USING (lang) LEFT JOIN by_class USING (lang, class))
+"""
+    last = f"""
 SELECT doc_id, nullif(lang, '') AS lang, round(2 ** bits, 6) AS perplexity, round(2 ** most, 6) AS threshold,
        CASE WHEN n = 0 THEN false WHEN bits IS NULL OR most IS NULL THEN true ELSE bits <= most END AS kept FROM limits
 """
+    split = lambda text: re.split(r",\n(?=[a-z_]+ AS)", text.strip())
+    return [*split(before), *levels, *split(after)], last
 
 
 def test_op5_in_sql(spark):
-    """On the smallest tables; on larger ones DuckDB takes minutes and many GB for it, so that it is not registered."""
-    db = duckdb.connect(config={"memory_limit": "4GB", "threads": 2})
+    """Step by step; as one statement DuckDB takes minutes and many GB for it, so that it is not registered."""
+    db = duckdb.connect(config={"memory_limit": "4GB", "threads": 4})
     for t in ("documents", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    wanted = {r[0]: r for r in db.execute(op5_sql()).fetchall()}
+    ids, grams = [], []
+    for i, text in db.execute("SELECT doc_id, text FROM documents WHERE text <> ''").fetchall():
+        padded = " " * (ORDER - 1) + text
+        ids += [i] * len(text)
+        grams += [padded[k : k + ORDER] for k in range(len(text))]
+    db.register("cut", pa.table({"doc_id": ids, "g": grams}))
+    steps, result = op5_sql()
+    for step in steps:
+        db.execute(f"CREATE TEMP TABLE {step}")
+    wanted = {r[0]: r for r in db.execute(result).fetchall()}
     found = {r["doc_id"]: tuple(r) for r in queries.op5_quality(spark, DATA).collect()}
     assert found == wanted and len({r[3] for r in found.values()}) > 1
 
