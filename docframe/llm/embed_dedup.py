@@ -245,8 +245,11 @@ def _compare(forests, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         numbers = held["q"].astype(float)
         norm = _norm(numbers)
         unit = (numbers / norm[:, None]).astype(np.float32)
-        own = _part(held["node"], group, lo) if lo != hi else None
-        some, near, sure = _near(unit, held["off"] + np.float32(SINGLE * dims / 2), least, own)
+        # the pairs inside a part belong to the task of the part and the next one
+        first = _part(held["node"], group, lo) if lo != hi else np.ones(len(held), bool)
+        parts = int(group["parts"].iloc[0])
+        inner = np.where(first, (lo + 1) % parts == hi, (hi + 1) % parts == lo)
+        some, near, sure = _near(unit, held["off"] + np.float32(SINGLE * dims / 2), least, first, inner)
         if not len(some):
             return pd.DataFrame({"a": [], "b": [], "n": [], "sure": []}).astype({"a": "int64", "b": "int64", "n": "int64", "sure": bool})
         ids, weight = held["node"][some], held["weight"][some].astype(float)
@@ -281,18 +284,17 @@ def _compare(forests, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compare
 
 
-def _near(unit: np.ndarray, off: np.ndarray, least: float, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(unit: np.ndarray, off: np.ndarray, least: float, first: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(some, near, sure): the rows that have a near one, and which of them may link and surely do.
 
-    With part (whether a row is of the first of two parts) only rows of different parts are compared."""
+    first: whether a row is of the first of two parts; rows of one part are compared where inner says so."""
     near, sure = np.zeros((len(unit), len(unit)), bool), np.zeros((len(unit), len(unit)), bool)
     for at in range(0, len(unit), ROWS_AT_ONCE):
         rows = slice(at, at + ROWS_AT_ONCE)
         beyond = unit[rows] @ unit.T - np.float32(least)
         doubt = off[rows, None] + off[None, :]
         near[rows], sure[rows] = beyond >= -doubt, beyond > doubt
-        if part is not None:
-            near[rows] &= part[rows, None] != part[None, :]
+        near[rows] &= (first[rows, None] != first[None, :]) | inner[rows, None]
     np.fill_diagonal(near, False)
     some = np.flatnonzero(near.any(1))
     return some, near[np.ix_(some, some)], sure[np.ix_(some, some)]
@@ -354,7 +356,7 @@ def embedding_groups(
 
     A vector travels to its leaves as 16-bit steps, with a bound on their error. Inside a leaf all vectors are
     compared; a leaf of more than `block` vectors is dealt out in parts, and every two parts are compared in a task
-    of their own. A pair is counted only in the lowest leaf that it shares, which a task finds by routing again the
+    of their own, one of them with itself too. A pair is counted only in the lowest leaf that it shares, which a task finds by routing again the
     vectors that have a near one, so that tasks return sums by vector and one edge for each vector, not pairs; only a
     pair so near the limit that 16 bits cannot tell is returned, and decided from the vectors themselves.
 
@@ -380,9 +382,10 @@ def embedding_groups(
     parts = F.coalesce("parts", F.lit(1))
     members = (
         _either(travelling.mapInArrow(released(_router(forests)), "dims int, leaf long, node long, blob binary"), wide, ["dims", "leaf"], "left")
-        .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("dims", "leaf", "node", "blob", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        .withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
+        .withColumn("other", F.explode(F.sequence(F.least(F.lit(1), F.col("parts") - 1), F.col("parts") - 1)))
+        .withColumn("other", F.pmod(F.col("part") + F.col("other"), F.col("parts")))
+        .select("dims", "leaf", "parts", "node", "blob", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     )
     found = stored(members.groupBy("dims", "leaf", "lo", "hi").applyInPandas(_compare(forests, cosine), "a long, b long, n long, sure boolean"), "links")
     vector_of = lambda c: nodes.select(F.col("node").alias(c), F.col("vector").alias(f"v{c}"), F.col("weight").alias(f"w{c}"))
