@@ -298,6 +298,39 @@ def test_candidates_lose_no_near_fingerprint_of_a_cell(spark, block):
     assert all(a < b for a, b in pairs)
 
 
+@pytest.mark.parametrize(("block", "part_bytes"), [(3, 1 << 24), (512, 1 << 24), (512, 1 << 13)])
+def test_all_candidates_are_verified(spark, monkeypatch, block, part_bytes):
+    monkeypatch.setattr(near_copies, "PART_BYTES", part_bytes)
+    rng = random.Random(15)
+    words = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in ("ar", "el", "in", "os", "u") for c in "klmnt"]
+
+    def shuffled(own):
+        """The same words and nearly the same pairs of words, but other runs of five words."""
+        cuts = sorted(rng.sample(range(1, len(own)), 11))
+        runs = [own[i:k] for i, k in zip([0, *cuts], [*cuts, len(own)], strict=True)]
+        rng.shuffle(runs)
+        return sum(runs, [])
+
+    texts = []
+    for _ in range(40):
+        one = rng.choices(words, k=200)
+        at = rng.randrange(180)
+        other = [*one[:at], *rng.choices(words, k=12), *one[at + 12 :]]
+        # these two are alike; each has copies that are nearer by fingerprint, but not alike
+        texts += [" ".join(t) for x in (one, other) for t in (x, *(shuffled(x) for _ in range(5)))]
+    split = [near_copies.words_of(t) for t in texts]
+    fp = np.frombuffer(b"".join(map(near_copies.fingerprint, split)), "<u8").reshape(-1, near_copies.WORDS)
+    apart = np.bitwise_count(fp[:, None] ^ fp).sum(2, dtype=int)
+    count = near_copies.popcounts(fp)
+    meet = np.any([(count[:, None, own] == count[:, own]).all(2) for own in near_copies.grids(len(texts))], axis=0)
+    near = [(i, k) for i, k in np.argwhere(meet & (apart <= int(near_copies.FAR * 256))).tolist() if i < k]
+    sets = [set(near_copies.shingles(w).tolist()) for w in split]
+    true = [(i, k) for i, k in near if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    assert len(true) >= 30 and len(near) > 10 * len(true)
+    kept = [r["doc_id"] for r in near_copies.near_copy_keepers(odd(spark, list(enumerate(texts))), block=block).collect()]
+    assert sorted(kept) == sorted(set(union_find(len(texts), true)))
+
+
 def test_popcounts_bound_the_distance_of_fingerprints():
     rng = np.random.default_rng(14)
     a = rng.integers(0, 1 << 64, (500, near_copies.WORDS), np.uint64, endpoint=False)
